@@ -1 +1,6 @@
+"""The queries over the test tables, by operator id, and SQL that gives the same rows."""
 
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE: dict = {}
