@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveloom.functions.parse import number
+from sieveloom.llm import capping, quantiles, topn
 from sieveloom.llm import records as R
 from sieveloom.llm.sampling import BalancedSample, balanced_sample
-from sieveloom.runtime import read
+from sieveloom.runtime import materialize, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,4 +38,72 @@ def p1_sample(spark: SparkSession, d: str) -> DataFrame:
     return _p1(spark, d).decided.where("selected").select(F.col("id").alias("row_id"), "class_key", "cluster_id")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_report": p1_report, "p1_margins": p1_margins, "p1_sample": p1_sample}
+#: Spellings of image_type by meaning; fixed values.
+GOOD = ["good", "ok", "normal", "pass"]
+DEFECT = ["defect", "ng", "bad", "anomaly", "fail"]
+METRICS = ["local_variance", "texture_entropy"]
+PERCENTILES = [0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]
+#: A local binary pattern histogram has ten bins; an entropy above log2(10) is impossible.
+MAX_ENTROPY = 3.3219281
+
+
+def patches(spark: SparkSession, d: str) -> DataFrame:
+    """One row a patch, however often delivered, with the meaning of image_type and valid values only."""
+    t = F.lower(F.trim("image_type"))
+    kind = F.when(t.isin(GOOD), 0).when(t.isin(DEFECT), 1).otherwise(2)
+    v, e = number("local_variance"), number("texture_entropy")
+    df = read(spark, d, "context_features").select("image_id", "patch_xy", F.to_date("profiled_at").alias("day"), kind.alias("kind"), F.when(v >= 0, v).alias("local_variance"), F.when((e >= 0) & (e <= MAX_ENTROPY + 1e-4), e).alias("texture_entropy"))
+    one = df.groupBy("image_id", "patch_xy").agg(*[F.max(c).alias(c) for c in ("day", "kind", *METRICS)])
+    return one.select(F.element_at(F.array(F.lit("good"), F.lit("defect"), F.lit("unknown")), F.col("kind") + 1).alias("image_kind"), "day", *METRICS)
+
+
+def day_sketches(spark: SparkSession, d: str) -> DataFrame:
+    return quantiles.merge_tree(quantiles.sketch(patches(spark, d), ["image_kind", "day"], METRICS), ["image_kind", "day", "metric"])
+
+
+def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    by = ["image_kind", "metric"]
+    return quantiles.percentiles(quantiles.merge(day_sketches(spark, d), by), by, PERCENTILES)
+
+
+def p2_daily(spark: SparkSession, d: str) -> DataFrame:
+    by = ["image_kind", "day", "metric"]
+    return quantiles.percentiles(quantiles.merge(day_sketches(spark, d), by), by, PERCENTILES)
+
+
+CAPS = capping.Caps("image", ["cluster_id", "cell_key"], "row_id", "quality", inner=3, outer=25)
+BATCHES = 3
+
+
+def _seconds(c):
+    return c.cast("timestamp").cast("double")
+
+
+def _p3(spark: SparkSession, d: str) -> capping.State:
+    valid = R.roi_records(spark, d, {"image": R.canonical_id("image_id"), "cluster_id": F.col("cluster_id"), "cell_key": F.col("cell_key"), "quality": R.quality(), "at": F.col("loaded_at")})
+    span = read(spark, d, "roi_candidates").agg(_seconds(F.min("loaded_at")).alias("a"), _seconds(F.max("loaded_at")).alias("b")).first()
+    a, b = span["a"] or 0.0, span["b"] or 0.0
+    no = F.floor((_seconds(F.col("at")) - a) / max(b - a, 1e-6) * BATCHES)
+    valid = valid.withColumn("batch", F.coalesce(F.least(F.greatest(no, F.lit(0)), F.lit(BATCHES - 1)), F.lit(0)).cast("int")).drop("at")
+    return capping.cap_in_batches(CAPS, materialize(valid), "batch", BATCHES)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p3(spark, d).displaced.select("row_id")
+
+
+def p3_kept(spark: SparkSession, d: str) -> DataFrame:
+    return _p3(spark, d).kept
+
+
+def p4_top(spark: SparkSession, d: str) -> DataFrame:
+    df = read(spark, d, "clean_bg_selected").select("roi_idx", F.explode(topn.best_of_array("cand", "normal_id", "score", 5)).alias("x"))
+    df = df.select("roi_idx", F.col("x.item").alias("normal_id"), (-F.col("x.neg")).alias("score"))
+    return topn.top_n(df, "roi_idx", "normal_id", "score", 5)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_top(spark, d).select("roi_idx", "normal_id")
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_report": p1_report, "p1_margins": p1_margins, "p1_sample": p1_sample, "p2_percentiles": p2_percentiles, "p2_daily": p2_daily, "p3_found": p3_found, "p3_kept": p3_kept, "p4_found": p4_found, "p4_top": p4_top}
