@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveloom.functions.parse import number
-from sieveloom.llm import capping, quantiles, topn
+from sieveloom.llm import capping, clusters, graph, quantiles, splits, topn
 from sieveloom.llm import records as R
 from sieveloom.llm.sampling import BalancedSample, balanced_sample
 from sieveloom.runtime import materialize, read
@@ -106,4 +106,69 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_top(spark, d).select("roi_idx", "normal_id")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_report": p1_report, "p1_margins": p1_margins, "p1_sample": p1_sample, "p2_percentiles": p2_percentiles, "p2_daily": p2_daily, "p3_found": p3_found, "p3_kept": p3_kept, "p4_found": p4_found, "p4_top": p4_top}
+FEATURES = ["linearity", "solidity", "eccentricity", "aspect"]
+#: Interval widths: three features of the unit interval, and the logarithm of the aspect ratio.
+GRID = clusters.Grid([0.12, 0.12, 0.12, 0.32], shifts=4)
+
+
+def _p5(spark: SparkSession, d: str) -> DataFrame:
+    m = read(spark, d, "morphology_features")
+    unit = lambda c: F.when(number(c).between(0, 1), number(c))
+    ar = number("aspect_ratio")
+    # below 1 an aspect ratio is impossible, 99 and more stand for a vanishing minor axis
+    m = m.select("morph_id", "loaded_at", *[unit(c).alias(c) for c in FEATURES[:3]], F.when((ar >= 1) & (ar < 99), F.ln(ar)).alias("aspect"))
+    return materialize(clusters.cluster(R.latest(m, "morph_id", FEATURES), "morph_id", FEATURES, GRID))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = graph.consecutive(_p5(spark, d), "cluster", "id")
+    return pairs.select(F.col("a").alias("morph_id_a"), F.col("b").alias("morph_id_b"))
+
+
+def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.describe(_p5(spark, d)).withColumnRenamed("id", "morph_id")
+
+
+def _p6(spark: SparkSession, d: str) -> DataFrame:
+    m = read(spark, d, "morphology_features").select("morph_id", "loaded_at", "image_id", "image_path", "defect_type")
+    m = R.latest(m, "morph_id", ["image_id", "image_path", "defect_type"])
+    return materialize(splits.related(m, "morph_id", splits.photo_keys("image_id", "image_path", "defect_type"), ["defect_type"]))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = graph.consecutive(_p6(spark, d), "component", "id")
+    return pairs.select(F.col("a").alias("morph_id_a"), F.col("b").alias("morph_id_b"))
+
+
+def p6_splits(spark: SparkSession, d: str) -> DataFrame:
+    rows = _p6(spark, d)
+    shares = {r["split_name"]: r["share"] for r in read(spark, d, "split_targets").limit(100).collect()}
+    done = splits.grouped_splits(rows, "component", "defect_type", shares)
+    return rows.join(done, "component").select(F.col("id").alias("morph_id"), F.col("component").alias("photograph"), "split")
+
+
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    rows = _p6(spark, d)
+    shares = {r["split_name"]: r["share"] for r in read(spark, d, "split_targets").limit(100).collect()}
+    done = splits.grouped_splits(rows, "component", "defect_type", shares)
+    n = rows.join(done, "component").groupBy("defect_type", "split").agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("defect_type")))
+
+
+QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_report": p1_report,
+    "p1_margins": p1_margins,
+    "p1_sample": p1_sample,
+    "p2_percentiles": p2_percentiles,
+    "p2_daily": p2_daily,
+    "p3_found": p3_found,
+    "p3_kept": p3_kept,
+    "p4_found": p4_found,
+    "p4_top": p4_top,
+    "p5_found": p5_found,
+    "p5_clusters": p5_clusters,
+    "p6_found": p6_found,
+    "p6_splits": p6_splits,
+    "p6_shares": p6_shares,
+}
