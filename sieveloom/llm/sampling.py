@@ -192,7 +192,8 @@ def balanced_sample(records: DataFrame, targets: DataFrame, keys: list[str], rec
 
     flown = materialize(mine.join(probs, "cat").select("id", "cat", "p", F.lit(0).alias("part")).mapInPandas(_partition_flight(seed), SCHEMA))
     parts = [flown.where("p = 0 or p = 1")]
-    open_, groups, level = flown.where("p > 0 and p < 1"), flown.rdd.getNumPartitions(), 0
+    open_, level = flown.where("p > 0 and p < 1"), 0
+    groups = (open_.agg(F.max("part")).first()[0] or 0) + 1
     while groups > fan_in:
         step = materialize(open_.groupBy(F.floor(F.col("part") / fan_in).cast("int").alias("_g")).applyInPandas(_group_flight(seed, level), SCHEMA))
         parts.append(step.where("p = 0 or p = 1"))
