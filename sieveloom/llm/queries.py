@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveloom.functions.parse import number
-from sieveloom.llm import capping, clusters, graph, quantiles, splits, topn
+from sieveloom.llm import capping, clusters, contamination, encode, graph, language, quantiles, splits, topn
 from sieveloom.llm import records as R
 from sieveloom.llm.sampling import BalancedSample, balanced_sample
 from sieveloom.runtime import materialize, read
@@ -155,6 +155,43 @@ def p6_shares(spark: SparkSession, d: str) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("defect_type")))
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode_column(read(spark, d, "documents"), "doc_id", "text")
+
+
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return encode.decode_column(p7_ids(spark, d), "doc_id", "ids")
+
+
+def p8_alignments(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.leaks(read(spark, d, "documents"), read(spark, d, "benchmark"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_alignments(spark, d).where(F.col("words") >= contamination.LEAST).select("doc_id", "item_id")
+
+
+def _p9(spark: SparkSession, d: str) -> DataFrame:
+    return language.detect(read(spark, d, "documents"), read(spark, d, "language_samples"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    code = language.label_code(F.col("label"))
+    wrong = (F.size("langs") > 1) | ((F.size("langs") == 1) & ~F.element_at("langs", 1).eqNullSafe(code))
+    return _p9(spark, d).where(F.col("doc_id").isNotNull() & wrong).select("doc_id", F.explode("langs").alias("lang"))
+
+
+def p9_labels(spark: SparkSession, d: str) -> DataFrame:
+    code = language.label_code(F.col("label"))
+    status = F.when(F.col("lang").isNull(), "no sentence").when(code.isNull(), "missing").when(code == F.col("lang"), "right").otherwise("wrong")
+    return _p9(spark, d).select("doc_id", "label", "lang", "confidence", (F.size("langs") > 1).alias("mixed"), status.alias("status"))
+
+
+def p9_passages(spark: SparkSession, d: str) -> DataFrame:
+    x = _p9(spark, d).select("doc_id", "lang", F.explode("passages").alias("p"))
+    return x.where(F.col("p.lang") != F.col("lang")).select("doc_id", F.col("p.start").alias("start"), F.col("p.end").alias("stop"), F.col("p.lang").alias("lang"), F.col("p.confidence").alias("confidence"), F.col("p.sentences").alias("sentences"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_report": p1_report,
@@ -171,4 +208,11 @@ QUERIES: dict[str, Query] = {
     "p6_found": p6_found,
     "p6_splits": p6_splits,
     "p6_shares": p6_shares,
+    "p7_ids": p7_ids,
+    "p7_decoded": p7_decoded,
+    "p8_found": p8_found,
+    "p8_alignments": p8_alignments,
+    "p9_found": p9_found,
+    "p9_labels": p9_labels,
+    "p9_passages": p9_passages,
 }
