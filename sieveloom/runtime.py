@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, so that Python workers can import it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    home = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="sieveloom-")) / "sieveloom.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, Path(home.name) / f.relative_to(home))
+    sc.addPyFile(str(target))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only in local mode."""
     sc = spark.sparkContext
