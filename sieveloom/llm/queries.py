@@ -108,7 +108,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 FEATURES = ["linearity", "solidity", "eccentricity", "aspect"]
 #: Interval widths: three features of the unit interval, and the logarithm of the aspect ratio.
-GRID = clusters.Grid([0.12, 0.12, 0.12, 0.32], shifts=4)
+GRID = clusters.Grid([0.15, 0.15, 0.15, 0.4], shifts=5)
 
 
 def _p5(spark: SparkSession, d: str) -> DataFrame:
