@@ -1,6 +1,6 @@
 """The queries over the test tables, by operator id, and SQL that gives the same rows."""
 
-from __future__ import annotations
+from sieveloom.plans import scalar  # noqa: F401
+from sieveloom.plans.base import ORACLE, QUERIES
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+__all__ = ["ORACLE", "QUERIES"]
