@@ -118,9 +118,10 @@ def _(s, d):
     return means(s, d).select("image_id", *[F.round(f, 6).alias(f) for f in CONTEXT])
 
 
-@op("agg_image_mean_partial", "patch", f"SELECT image_id, {_MEAN} FROM patch GROUP BY image_id")
+@op("agg_image_mean_partial", "patch", "SELECT image_id, " + ", ".join(f"round(avg({f}) + 1e-10::DOUBLE, 6) AS {f}" for f in CONTEXT) + " FROM patch GROUP BY image_id")
 def _(s, d):
-    return A.image_means(patch(s, d), CONTEXT, complete=False)
+    m = A.image_means(patch(s, d), CONTEXT, complete=False, digits=12)
+    return m.select("image_id", *[F.round(F.col(f) + 1e-10, 6).alias(f) for f in CONTEXT])
 
 
 @op("agg_global_mean", "patch", "SELECT " + ", ".join(f"round(avg({f}), 4) AS {f}" for f in CONTEXT) + " FROM patch")
