@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-Reduce = Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]
+from sieveloom.operators.selection import top_per_group
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -25,6 +23,16 @@ def euclid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d, 0))
 
 
+def _grid(left: DataFrame, right: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides cut by hash into pieces of about ``block`` rows, each repeated for every piece of the other."""
+    blocks, parts = max(1, -(-right.count() // block)), max(1, -(-left.count() // block))
+    piece = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = left.withColumn("part", piece(parts)).withColumn("block", all_(blocks))
+    b = right.withColumn("rblock", piece(blocks)).withColumn("rpart", all_(parts))
+    return a, b.select(*[F.col(c).alias(c if c in ("rblock", "rpart") else f"r{c}") for c in b.columns])
+
+
 def nearest(left: DataFrame, right: DataFrame, k: int = 1, metric: str = "cosine", block: int = 4096) -> DataFrame:
     """(id, neighbour, distance, rank): the k nearest rows of right for each row (id, vec) of left.
 
@@ -35,24 +43,18 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 1, metric: str = "cosine
     dist = {"cosine": cosine, "euclid": euclid}[metric]
     ok = F.col("vec").isNotNull() & (F.size("vec") > 0)
     left, right = left.where(ok).select("id", "vec"), right.where(ok).select("id", "vec")
-    blocks = max(1, -(-right.count() // block))
-    a = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-left.count() // block)))))
-    parts = a.select("part").distinct()
-    b = right.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).join(parts)
+    a, b = _grid(left, right.select("id", "vec"), block)
 
     def run(_, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         cols = ["id", "neighbour", "distance"]
         if x.empty or y.empty:
             return pd.DataFrame([], columns=cols)
-        d = dist(np.stack(x["vec"].to_numpy()).astype(float), np.stack(y["vec"].to_numpy()).astype(float))
-        order = np.lexsort((np.broadcast_to(y["id"].to_numpy(), d.shape), np.round(d, 12)), axis=1)[:, :k]
-        return pd.DataFrame({"id": np.repeat(x["id"].to_numpy(), order.shape[1]), "neighbour": y["id"].to_numpy()[order].ravel(), "distance": np.take_along_axis(d, order, axis=1).ravel()})
+        d = dist(np.stack(x["vec"].to_numpy()).astype(float), np.stack(y["rvec"].to_numpy()).astype(float))
+        order = np.lexsort((np.broadcast_to(y["rid"].to_numpy(), d.shape), np.round(d, 12)), axis=1)[:, :k]
+        return pd.DataFrame({"id": np.repeat(x["id"].to_numpy(), order.shape[1]), "neighbour": y["rid"].to_numpy()[order].ravel(), "distance": np.take_along_axis(d, order, axis=1).ravel()})
 
     kind, kind2 = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
-    got = a.groupBy("part", "block").cogroup(b.groupBy("part", "block")).applyInPandas(run, f"id {kind}, neighbour {kind2}, distance double")
-    from sieveloom.operators.selection import top_per_group
-    from pyspark.sql import Window
-
+    got = a.groupBy("part", "block").cogroup(b.groupBy("rpart", "rblock")).applyInPandas(run, f"id {kind}, neighbour {kind2}, distance double")
     best = top_per_group(got, ["id"], [F.round("distance", 12), F.col("neighbour")], k)
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.round("distance", 12), "neighbour")))
 
@@ -60,17 +62,15 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 1, metric: str = "cosine
 def within(left: DataFrame, right: DataFrame, radius: str = "r", metric: str = "euclid", block: int = 4096) -> DataFrame:
     """(id, hits): for each row (id, vec) of left the rows (id, vec, radius) of right whose radius exceeds the distance."""
     dist = {"cosine": cosine, "euclid": euclid}[metric]
-    blocks = max(1, -(-right.count() // block))
-    a = left.select("id", "vec").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-left.count() // block)))))
-    b = right.select("id", "vec", F.col(radius).alias("r")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).join(a.select("part").distinct())
+    a, b = _grid(left.select("id", "vec"), right.select("id", "vec", F.col(radius).alias("r")), block)
 
     def run(_, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
             return pd.DataFrame([], columns=["id", "hits"])
-        d = dist(np.stack(x["vec"].to_numpy()).astype(float), np.stack(y["vec"].to_numpy()).astype(float))
-        return pd.DataFrame({"id": x["id"], "hits": (d < y["r"].to_numpy()[None, :] - 1e-9).sum(axis=1)})
+        d = dist(np.stack(x["vec"].to_numpy()).astype(float), np.stack(y["rvec"].to_numpy()).astype(float))
+        return pd.DataFrame({"id": x["id"], "hits": (d < y["rr"].to_numpy()[None, :] - 1e-9).sum(axis=1)})
 
-    got = a.groupBy("part", "block").cogroup(b.groupBy("part", "block")).applyInPandas(run, f"id {left.schema['id'].dataType.simpleString()}, hits long")
+    got = a.groupBy("part", "block").cogroup(b.groupBy("rpart", "rblock")).applyInPandas(run, f"id {left.schema['id'].dataType.simpleString()}, hits long")
     return got.groupBy("id").agg(F.sum("hits").alias("hits"))
 
 
