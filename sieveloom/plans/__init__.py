@@ -1,6 +1,6 @@
 """The queries over the test tables, by operator id, and SQL that gives the same rows."""
 
-from sieveloom.plans import analytics, relational, scalar, statistics  # noqa: F401
+from sieveloom.plans import analytics, io, relational, scalar, statistics  # noqa: F401
 from sieveloom.plans.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
