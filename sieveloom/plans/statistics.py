@@ -167,9 +167,9 @@ def _(s, d):
     return A.share(cand(s, d).where("cluster_id is not null"), ["cluster_id"]).select("cluster_id", F.round("p", 6).alias("prior"))
 
 
-@op("agg_centroid", "morph", "SELECT defect_type, count(*) AS n, " + ", ".join(f"round(avg({f}), 5) AS {f}" for f in MORPH) + " FROM morph GROUP BY defect_type")
+@op("agg_centroid", "morph", "SELECT defect_type, count(*) AS n, " + ", ".join(f"round(avg({f}) + 1e-10::DOUBLE, 5) AS {f}" for f in MORPH) + " FROM morph GROUP BY defect_type")
 def _(s, d):
-    return morph(s, d).groupBy("defect_type").agg(F.count("*").alias("n"), *[F.round(F.avg(f), 5).alias(f) for f in MORPH])
+    return morph(s, d).groupBy("defect_type").agg(F.count("*").alias("n"), *[F.round(F.avg(f) + 1e-10, 5).alias(f) for f in MORPH])
 
 
 CTE["types"] = "SELECT coalesce(defect_type, 'unknown') AS t, count(*) / sum(count(*)) OVER () AS p FROM morph GROUP BY 1"
