@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 
 import numpy as np
@@ -247,6 +248,85 @@ def resize(g: np.ndarray, size: int) -> np.ndarray:
     return np.clip(np.rint(weights(h) @ g.astype(float) @ weights(w).T), 0, 255).astype(np.uint8)
 
 
+def quality_scores(g: np.ndarray, where: np.ndarray | None = None) -> dict[str, float]:
+    """Freedom from pasting artefacts and sharpness, both in the unit interval, over the pixels ``where``."""
+    mag, lap = np.hypot(*gradients(g)), laplacian(g)
+    if where is not None and where.any():
+        mag, lap = mag[where], lap[where]
+    mean, std = mag.mean(), mag.std()
+    if mean < 1e-6:
+        artifact = 1.0
+    else:
+        edge = 1 - min(10 * (mag > mean + 3 * std).mean(), 1.0)
+        artifact = 0.6 * edge + 0.4 * (1 - min(np.abs(lap).mean() / (mean + std + 1e-6) / 5, 1.0))
+    p50, p90 = np.percentile(mag, [50, 90])
+    contrast = 0.0 if p50 < 1e-6 else min(max((p90 / (p50 + 1e-6) - 1) / 9, 0.0), 1.0)
+    return {"artifact": float(artifact), "sharpness": float(0.5 * min(lap.var() / 1000, 1.0) + 0.5 * contrast)}
+
+
+def gram_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Cosine of the channel products of two patches (h, w, c); 0.5 where one of them vanishes."""
+    x, y = (np.einsum("ijc,ijd->cd", p.astype(float), p.astype(float)) / (p.shape[0] * p.shape[1]) for p in (a, b))
+    n = np.linalg.norm(x) * np.linalg.norm(y)
+    return float((x * y).sum() / n) if n > 1e-8 else 0.5
+
+
+def mask_box(m: np.ndarray) -> dict[str, int] | None:
+    """Bounding box of the set pixels, none for an empty mask."""
+    y, x = np.nonzero(m)
+    return {"x": int(x.min()), "y": int(y.min()), "w": int(x.max() - x.min() + 1), "h": int(y.max() - y.min() + 1)} if len(y) else None
+
+
+def cell_classes(g: np.ndarray, size: int) -> list[str]:
+    """Background class of each whole cell of a grid, row by row."""
+    return [background_class(g[y : y + size, x : x + size]) for y in range(0, g.shape[0] - size + 1, size) for x in range(0, g.shape[1] - size + 1, size)]
+
+
+def netpbm(data: bytes | None) -> tuple[int, int, list[int]] | None:
+    """(height, width, grey values) of a binary PGM or PPM file of 8 bits; none for anything else."""
+    gap = rb"(?:\s|#[^\n]*\n)+"
+    m = re.match(rb"(P[56])" + gap + rb"(\d{1,6})" + gap + rb"(\d{1,6})" + gap + rb"255\s", data or b"")
+    if not m:
+        return None
+    w, h, c = int(m[2]), int(m[3]), 1 if m[1] == b"P5" else 3
+    if len(data) < m.end() + h * w * c:
+        return None
+    px = np.frombuffer(data, dtype=np.uint8, offset=m.end(), count=h * w * c).reshape(h, w, c)
+    return h, w, np.rint(px.mean(axis=2)).astype(int).ravel().tolist()
+
+
+def read_images(files: DataFrame) -> DataFrame:
+    """(path, h, w, pixels) of (path, content) rows; files that can't be read have nulls, not errors."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(p, *(netpbm(c) or (None, None, None))) for p, c in zip(b["path"], b["content"])]
+            yield pd.DataFrame(rows, columns=["path", "h", "w", "pixels"]).astype({"h": "Int32", "w": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, "path string, h int, w int, pixels array<int>")
+
+
+# ---- arrays without a kernel: plain expressions -------------------------------------------------
+
+
+def tile_origins(length: Column, size: int, stride: int) -> Column:
+    """Starts of tiles along a side: every stride, the last one moved in to end at the border."""
+    last = F.greatest(F.lit(0), length - size).cast("int")
+    return F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last)))
+
+
+def crop(pixels: Column, width: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
+    """The rows of a box, cut out of an array of pixels."""
+    rows = F.transform(F.sequence(y, y + h - 1), lambda r: F.slice(pixels, (r * width + x + 1).cast("int"), w))
+    return F.flatten(rows)
+
+
+def composite(front: Column, back: Column, alpha: Column) -> Column:
+    """front over back with an opacity for each pixel, rounded."""
+    both = F.zip_with(front, back, lambda f, b: F.struct(f.alias("f"), b.alias("b")))
+    return F.zip_with(both, alpha, lambda p, a: F.round(p["f"] * a + p["b"] * (1 - a)).cast("int"))
+
+
 _FEATURES = "local_variance double, edge_density double, texture_entropy double, frequency_energy double, orientation_consistency double"
 _PROPS = "linearity double, solidity double, extent double, aspect_ratio double, eccentricity double, circularity double, area double"
 
@@ -260,6 +340,12 @@ def map_images(df: DataFrame, key: str, kernel: str) -> DataFrame:
         "quality": ("quality double", lambda g: {"quality": background_quality(g)}),
         "otsu": ("threshold int", lambda g: {"threshold": otsu(g)}),
         "boxes": ("n_boxes int", lambda g: {"n_boxes": len(boxes(g > otsu(g), 20))}),
+        "scores": ("artifact double, sharpness double", quality_scores),
+        "gram": ("gram double", lambda g: {"gram": gram_similarity(*np.split(g.reshape(g.shape[0], -1, 2), 2))}),
+        "mask_box": ("x int, y int, w int, h int", lambda g: mask_box(g > 150)),
+        "grid": ("cells array<string>", lambda g: {"cells": cell_classes(g, 8)}),
+        "seed_mask": ("share double", lambda g: {"share": float((g <= otsu(g)).mean())}),
+        "roi_meta": ("rois array<array<int>>, background string", lambda g: {"rois": [list(b) for b in boxes(g > otsu(g), 20)], "background": background_class(g)}),
         "half": ("mean double", lambda g: {"mean": float(resize(g, max(1, min(g.shape) // 2)).mean())}),
     }
     schema, f = plans[kernel]
@@ -274,6 +360,8 @@ def map_images(df: DataFrame, key: str, kernel: str) -> DataFrame:
                 rows.append((k, *[r[n] if r else None for n in names]))
             yield pd.DataFrame(rows, columns=[key, *names])
 
+    if len({key, *names}) < len(names) + 1:
+        raise ValueError("the key has the name of a result")
     return df.select(key, "h", "w", "pixels").mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {schema}")
 
 

@@ -386,7 +386,7 @@ def images(s, d):
     return m.select("morph_id", F.lit(16).alias("h"), F.lit(16).alias("w"), px.alias("pixels"))
 
 
-for _name, _kernel in {"img_context_feats": "context", "img_region_props": "props", "img_background_class": "background", "img_bg_quality": "quality", "img_otsu_mask": "otsu", "img_components": "boxes", "img_resize": "half"}.items():
+for _name, _kernel in {"img_context_feats": "context", "img_region_props": "props", "img_background_class": "background", "img_bg_quality": "quality", "img_otsu_mask": "otsu", "img_components": "boxes", "img_resize": "half", "img_quality": "scores", "img_gram": "gram", "img_mask_bbox": "mask_box", "img_grid": "grid", "img_seed_mask": "seed_mask", "img_roi_meta": "roi_meta"}.items():
 
     def _run(s, d, kernel=_kernel):
         df = images(s, d)
@@ -403,3 +403,21 @@ def _(s, d):
     rle = F.format_string("%d %d", F.col("event_id") % 90 + 1, F.col("event_id") % 7 + 1)
     df = read(s, d, "events").where((F.col("event_id") % 90) % 10 + F.col("event_id") % 7 + 1 <= 10)
     return df.select("event_id", K.rle_box(rle, 10).alias("b")).select("event_id", "b.x", "b.w")
+
+
+@op("img_tiling", "", "SELECT s_suppkey, CAST(least(x * 96, greatest(0, n - 128)) AS INT) AS start FROM (SELECT s_suppkey, 100 + s_suppkey % 300 AS n FROM supplier), (SELECT unnest(range(6)) AS x) WHERE (x = 0 OR (x - 1) * 96 < n - 128) GROUP BY 1, 2")
+def _(s, d):
+    n = F.lit(100) + F.col("s_suppkey") % 300
+    return read(s, d, "supplier").select("s_suppkey", F.explode(K.tile_origins(n, 128, 96)).alias("start"))
+
+
+@op("img_crop_pair", "", "SELECT r_regionkey, [17, 18, 33, 34] AS pixels FROM region")
+def _(s, d):
+    px = F.sequence(F.lit(0), F.lit(255))
+    return read(s, d, "region").select("r_regionkey", K.crop(px, F.lit(16), F.lit(1), F.lit(1), F.lit(2), F.lit(2)).alias("pixels"))
+
+
+@op("img_composite", "", "SELECT r_regionkey, [CAST(round(200 * 0.25::DOUBLE + r_regionkey * 0.75::DOUBLE) AS INT), CAST(100 AS INT)] AS pixels FROM region")
+def _(s, d):
+    k = F.col("r_regionkey")
+    return read(s, d, "region").select("r_regionkey", K.composite(F.array(F.lit(200), F.lit(7)), F.array(k, F.lit(100)), F.array(F.lit(0.25), F.lit(0.0))).alias("pixels"))

@@ -264,3 +264,16 @@ def _(s, d):
     from sieveloom.streaming.ingest import windowed_counts
 
     return windowed_counts(read(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
+
+
+@op("src_image", "", "SELECT * FROM (VALUES ('a.pgm', 2, 3, 9), ('b.ppm', 1, 1, 2), ('c.pgm', NULL, NULL, NULL)) t(file, h, w, total)")
+def _(s, d):
+    p, jvm, conf = spot(s), s.sparkContext._jvm, s.sparkContext._jsc.hadoopConfiguration()
+    for name, data in {"a.pgm": b"P5\n# made here\n3 2\n255\n" + bytes([0, 1, 2, 1, 2, 3]), "b.ppm": b"P6 1 1 255\n" + bytes([1, 2, 3]), "c.pgm": b"broken"}.items():
+        at = jvm.org.apache.hadoop.fs.Path(f"{p}/{name}")
+        out = at.getFileSystem(conf).create(at)
+        out.write(bytearray(data))
+        out.close()
+    x = K.read_images(s.read.format("binaryFile").load(p))
+    total = F.aggregate("pixels", F.lit(0), lambda a, v: a + v)
+    return x.select(F.element_at(F.split("path", "/"), -1).alias("file"), "h", "w", total.alias("total"))

@@ -149,3 +149,23 @@ def test_rle(spark):
     assert [x[0] for x in df.select(K.rle_area("r")).collect()] == [5, 0, 0, 0]
     b = spark.createDataFrame([("3 2 13 4",)], "r string").select(K.rle_box("r", 10)).first()[0]
     assert b.asDict() == {"x": 0, "y": 2, "w": 2, "h": 4}
+
+
+def test_netpbm_quality_and_gram():
+    assert K.netpbm(b"P5\n# c\n3 2\n255\n" + bytes([0, 1, 2, 1, 2, 3])) == (2, 3, [0, 1, 2, 1, 2, 3])
+    for bad in (b"broken", b"", None, b"P5 9 9 255\nxx", b"P5 2 2 65535\n" + bytes(8)):
+        assert K.netpbm(bad) is None
+    flat = np.full((16, 16), 80, dtype=np.uint8)
+    assert K.quality_scores(flat) == {"artifact": 1.0, "sharpness": 0.0}
+    spot = flat.copy()
+    spot[8, 8] = 255
+    assert K.quality_scores(spot)["artifact"] < 1 and 0 < K.quality_scores(spot)["sharpness"] <= 1
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 255, (8, 8, 3))
+    assert K.gram_similarity(a, a) == pytest.approx(1) and K.gram_similarity(a * 0, a) == 0.5
+    assert K.mask_box(np.zeros((3, 3), bool)) is None and K.mask_box(np.eye(3, dtype=bool)) == {"x": 0, "y": 0, "w": 3, "h": 3}
+
+
+def test_array_expressions(spark):
+    r = spark.range(1).select(K.tile_origins(F.lit(300), 128, 96).alias("t"), K.tile_origins(F.lit(50), 128, 96).alias("u"), K.crop(F.sequence(F.lit(0), F.lit(11)), F.lit(4), F.lit(1), F.lit(1), F.lit(2), F.lit(2)).alias("c"), K.composite(F.array(F.lit(10)), F.array(F.lit(20)), F.array(F.lit(0.5))).alias("m")).first()
+    assert (r["t"], r["u"], r["c"], r["m"]) == ([0, 96, 172], [0], [5, 6, 9, 10], [15])
