@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space beyond ASCII that turns up around keys.
-_BLANK = "[\\s\\u00a0\\u3000\\ufeff]"
-_NUMBER = "^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"
+#: White space, also beyond ASCII, that turns up around cells.
+_BLANKS = " \t\n\r\x0b\x0c\u00a0\u3000\ufeff"
 
 
 def col(c: Column | str) -> Column:
@@ -16,7 +15,7 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(col(c), f"^{_BLANK}+|{_BLANK}+$", "")
+    return F.trim(col(c), F.lit(_BLANKS))
 
 
 def finite(c: Column | str) -> Column:
@@ -28,7 +27,9 @@ def finite(c: Column | str) -> Column:
 def number(c: Column | str) -> Column:
     """A text cell as a finite double; empty, unreadable and non-finite cells are null."""
     s = strip(c)
-    return finite(F.when(s.rlike(_NUMBER), s.try_cast("double")))
+    v = s.try_cast("double")
+    suffixed = F.lower(F.right(s, F.lit(1))).isin("d", "f")  # Java's type suffixes are no part of a number
+    return F.when((F.abs(v) < F.lit(float("inf"))) & ~suffixed, v)
 
 
 def lenient_float(c: Column | str) -> Column:

@@ -12,7 +12,7 @@ from sieveloom.operators import stats as A
 from sieveloom.plans import statistics as T
 from sieveloom.plans.base import CONTEXT, CTE, cand, morph, op, patch
 from sieveloom.plans.scalar import boxed
-from sieveloom.runtime import broadcast_if_small, read
+from sieveloom.runtime import broadcast_if_small, materialize, read
 
 _VOID = "patch edges celled floors voided"
 CTE["byimage"] = "SELECT image_id, max_by(cluster_id, row_id) AS cluster_id FROM cand WHERE cluster_id IS NOT NULL GROUP BY image_id"
@@ -86,9 +86,10 @@ CTE["dhist"] = "SELECT image_id, cell_key, count(*) / sum(count(*)) OVER (PARTIT
 CTE["fits"] = "SELECT a.image_id AS roi, b.image_id AS bg, sum(least(a.p, b.p)) AS fit FROM dhist a JOIN hist b USING (cell_key) GROUP BY 1, 2"
 
 
-def fits(s, d):
-    a = T.image_hist(s, d, "defect").withColumnRenamed("image_id", "roi")
-    b = T.image_hist(s, d).withColumnRenamed("image_id", "bg")
+def fits(s, d, v=None):
+    v = v if v is not None else materialize(T.voided(s, d))
+    a = T.image_hist(s, d, "defect", v).withColumnRenamed("image_id", "roi")
+    b = T.image_hist(s, d, "good", v).withColumnRenamed("image_id", "bg")
     return A.histogram_intersection(a, b, ["roi"], ["bg"])
 
 
@@ -100,9 +101,10 @@ def _(s, d):
 @op("jn_roi_x_background", _VOID + " hist dhist fits", "SELECT roi, bg, round(coalesce(fit, 0), 6) AS fit FROM (SELECT DISTINCT image_id AS roi FROM dhist) CROSS JOIN (SELECT DISTINCT image_id AS bg FROM hist) LEFT JOIN fits USING (roi, bg)")
 def _(s, d):
     # the dense frame is what the ranking needs: every site against the bounded pool of backgrounds
-    f = fits(s, d)
-    rois = T.image_hist(s, d, "defect").select(F.col("image_id").alias("roi")).distinct()
-    bgs = T.image_hist(s, d).select(F.col("image_id").alias("bg")).distinct()
+    v = materialize(T.voided(s, d))
+    f = fits(s, d, v)
+    some = lambda kind, name: v.where((~F.col("void")) & (F.col("kind") == kind)).select(F.col("image_id").alias(name)).distinct()
+    rois, bgs = some("defect", "roi"), some("good", "bg")
     return rois.crossJoin(broadcast_if_small(bgs)).join(f, ["roi", "bg"], "left").select("roi", "bg", F.round(F.coalesce("fit", F.lit(0.0)), 6).alias("fit"))
 
 
@@ -127,7 +129,7 @@ def _(s, d):
 
 @op("win_pool_p95", _VOID + " hist dhist fits", "SELECT roi, bg FROM (SELECT roi, bg, round(fit, 9) AS f, round(quantile_cont(fit, 0.95) OVER (PARTITION BY roi), 9) AS cut FROM fits) WHERE f >= cut")
 def _(s, d):
-    f = fits(s, d)
+    f = materialize(fits(s, d))
     cut = f.groupBy("roi").agg(F.round(F.percentile("fit", F.lit(0.95)), 9).alias("cut"))
     return f.join(cut, "roi").where(F.round("fit", 9) >= F.col("cut")).select("roi", "bg")
 

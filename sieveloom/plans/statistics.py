@@ -10,7 +10,7 @@ from sieveloom.operators import ordered as O
 from sieveloom.operators import stats as A
 from sieveloom.plans.base import CONTEXT, CTE, MORPH, cand, morph, op, patch
 from sieveloom.plans.scalar import _BOX, boxed, keep_or_all
-from sieveloom.runtime import read
+from sieveloom.runtime import materialize, read
 
 _EDGE = ", ".join(f"CASE WHEN count({f}) < 3 THEN {i} ELSE round(quantile_cont({f}, {p}), 9) END AS e_{f}_{i}" for f in CONTEXT for i, p in enumerate((0.3333, 0.6667)))
 CTE["edges"] = f"SELECT {_EDGE} FROM patch"
@@ -35,40 +35,53 @@ CTE["symm"] = "SELECT cluster_id, cell_key, raw / max(raw) OVER (PARTITION BY cl
 _BASE = "patch edges celled means cuts assign"
 
 
-def edges(s, d):
-    return A.bin_edges(patch(s, d), CONTEXT)
+def patches(s, d):
+    """The patches, parsed and deduplicated once for all that a query makes of them."""
+    return materialize(patch(s, d))
 
 
-def celled(s, d):
-    return A.with_cells(patch(s, d), edges(s, d), CONTEXT)
+def edges(s, d, p=None):
+    return A.bin_edges(p if p is not None else patch(s, d), CONTEXT)
 
 
-def means(s, d):
-    return A.image_means(patch(s, d).where("kind = 'defect'"), CONTEXT)
+def celled(s, d, p=None):
+    p = p if p is not None else patches(s, d)
+    return A.with_cells(p, edges(s, d, p), CONTEXT)
 
 
-def assign(s, d):
-    m = means(s, d)
+def means(s, d, p=None):
+    return A.image_means((p if p is not None else patch(s, d)).where("kind = 'defect'"), CONTEXT)
+
+
+def assign(s, d, p=None):
+    m = materialize(means(s, d, p))
     cut = m.agg(F.percentile("local_variance", F.array(F.lit(0.3333), F.lit(0.6667))).alias("c"))
     m = m.crossJoin(F.broadcast(cut))
     at = lambda i: (F.col("local_variance") >= F.round(F.element_at("c", i), 9)).cast("int")
     return m.select("image_id", (at(1) + at(2)).alias("cluster_id"))
 
 
-def mean_cells(s, d):
-    return A.with_cells(means(s, d), edges(s, d), CONTEXT).join(assign(s, d), "image_id")
+def mean_cells(s, d, p=None):
+    p = p if p is not None else patches(s, d)
+    return materialize(A.with_cells(means(s, d, p), edges(s, d, p), CONTEXT).join(assign(s, d, p), "image_id"))
 
 
 def pairs(s, d):
     return A.share(mean_cells(s, d), ["cluster_id", "cell_key"], ["cluster_id"])
 
 
-def clean(s, d):
-    return A.share(celled(s, d).where("kind = 'good'"), ["cell_key"])
+def clean(s, d, p=None):
+    return A.share(celled(s, d, p).where("kind = 'good'"), ["cell_key"])
+
+
+def defect_patches(s, d, p=None):
+    p = p if p is not None else patches(s, d)
+    return A.share(celled(s, d, p).where("kind = 'defect'").join(assign(s, d, p), "image_id"), ["cluster_id", "cell_key"], ["cluster_id"])
 
 
-def defect_patches(s, d):
-    return A.share(celled(s, d).where("kind = 'defect'").join(assign(s, d), "image_id"), ["cluster_id", "cell_key"], ["cluster_id"])
+def symmetric(s, d):
+    p = patches(s, d)
+    return A.symmetric(defect_patches(s, d, p), clean(s, d, p))
 
 
 @op("agg_bin_edges", "patch edges", "SELECT " + ", ".join(f"round(e_{f}_{i}, 6) AS e_{f}_{i}" for f in CONTEXT for i in (0, 1)) + " FROM edges")
@@ -146,12 +159,12 @@ def _(s, d):
 
 @op("agg_symmetric", _BASE + " clean defpatch symm", "SELECT cluster_id, cell_key, round(sym, 6) AS sym FROM symm")
 def _(s, d):
-    return A.symmetric(defect_patches(s, d), clean(s, d)).select("cluster_id", "cell_key", F.round("sym", 6).alias("sym"))
+    return symmetric(s, d).select("cluster_id", "cell_key", F.round("sym", 6).alias("sym"))
 
 
 @op("agg_target_dist", _BASE + " clean defpatch symm", "SELECT cluster_id, cell_key, round(sym / sum(sym) OVER (PARTITION BY cluster_id), 6) AS target FROM symm")
 def _(s, d):
-    sym = A.symmetric(defect_patches(s, d), clean(s, d))
+    sym = symmetric(s, d)
     return sym.select("cluster_id", "cell_key", F.round(F.col("sym") / F.sum("sym").over(Window.partitionBy("cluster_id")), 6).alias("target"))
 
 
@@ -218,14 +231,15 @@ CTE["floors"] = "SELECT round(quantile_cont(local_variance, 0.15), 9) AS fv, rou
 CTE["voided"] = "SELECT *, coalesce(local_variance, 0) <= fv AND coalesce(edge_density, 0) <= fe AS void FROM celled, floors"
 
 
-def floors(s, d):
+def floors(s, d, p=None):
     q = lambda c: F.round(F.percentile(c, F.lit(0.15)), 9)
-    return patch(s, d).where("kind = 'good'").agg(q("local_variance").alias("fv"), q("edge_density").alias("fe"))
+    return (p if p is not None else patch(s, d)).where("kind = 'good'").agg(q("local_variance").alias("fv"), q("edge_density").alias("fe"))
 
 
-def voided(s, d):
+def voided(s, d, p=None):
+    p = p if p is not None else patches(s, d)
     z = lambda c: F.coalesce(c, F.lit(0.0))
-    return celled(s, d).crossJoin(F.broadcast(floors(s, d))).withColumn("void", (z("local_variance") <= F.col("fv")) & (z("edge_density") <= F.col("fe")))
+    return celled(s, d, p).crossJoin(F.broadcast(floors(s, d, p))).withColumn("void", (z("local_variance") <= F.col("fv")) & (z("edge_density") <= F.col("fe")))
 
 
 @op("agg_void_floor", "patch floors", "SELECT round(fv, 6) AS fv, round(fe, 6) AS fe FROM floors")
@@ -249,8 +263,9 @@ def _(s, d):
 CTE["hist"] = "SELECT image_id, cell_key, count(*) / sum(count(*)) OVER (PARTITION BY image_id) AS p FROM voided WHERE NOT void AND kind = 'good' GROUP BY image_id, cell_key"
 
 
-def image_hist(s, d, kind="good"):
-    return A.share(voided(s, d).where((~F.col("void")) & (F.col("kind") == kind)), ["image_id", "cell_key"], ["image_id"])
+def image_hist(s, d, kind="good", v=None):
+    v = v if v is not None else voided(s, d)
+    return A.share(v.where((~F.col("void")) & (F.col("kind") == kind)), ["image_id", "cell_key"], ["image_id"])
 
 
 @op("agg_image_hist", "patch edges celled floors voided hist", "SELECT image_id, cell_key, round(p, 6) AS p FROM hist")
