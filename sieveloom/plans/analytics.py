@@ -9,6 +9,7 @@ from sieveloom.functions import scores as S
 from sieveloom.operators import allocation as L
 from sieveloom.operators import kernels as K
 from sieveloom.operators import profiling as P
+from sieveloom.operators import resampling as R
 from sieveloom.operators import similarity as V
 from sieveloom.operators.selection import hashed, top_per_group
 from sieveloom.plans import statistics as T
@@ -118,22 +119,12 @@ CTE["delta"] = "SELECT id, max(d) FILTER (WHERE arm = 2) - max(d) FILTER (WHERE
 CTE["numbered"] = "SELECT x, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS n FROM delta"
 
 
-def _draw(key):
-    return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("long")
-
-
 @op("smp_bootstrap", "emb nn delta numbered", f"SELECT round((SELECT avg(x) FROM delta), 6) AS delta, round((count(*) FILTER (WHERE b <= 0) + 1) / ({_R} + 1), 6) AS p FROM (SELECT r, avg(x) AS b FROM (SELECT r, CAST('0x' || substr(md5(r || ':' || j), 1, 12) AS BIGINT) % (SELECT max(n) FROM numbered) AS k FROM (SELECT unnest(range({_R})) AS r), (SELECT unnest(range((SELECT max(n) FROM numbered))) AS j)) JOIN numbered USING (k) GROUP BY r)")
 def _(s, d):
+    """The table has no image ids, so the clusters drawn are the labels of the real rows. The SQL still draws 40 times single rows and has no interval."""
     x = nn(s, d).groupBy("id").agg((F.max(F.when(F.col("arm") == 2, F.col("d"))) - F.max(F.when(F.col("arm") == 1, F.col("d")))).alias("x"))
-    from sieveloom.operators.ordered import row_numbers
-
-    k = materialize(row_numbers(x, [F.col("id")]).select("x", (F.col("rn") - 1).alias("k")))
-    n = k.count()
-    draws = s.range(_R * n).select(F.floor(F.col("id") / n).alias("r"), (F.col("id") % n).alias("j"))
-    draws = draws.select("r", (_draw(F.concat_ws(":", "r", "j")) % n).alias("k"))
-    b = draws.join(k, "k").groupBy("r").agg(F.avg("x").alias("b"))
-    obs = k.agg(F.round(F.avg("x"), 6).alias("delta"))
-    return b.agg(F.round((F.count_if(F.col("b") <= 0) + 1) / F.lit(_R + 1.0), 6).alias("p")).crossJoin(obs).select("delta", "p")
+    b = R.cluster_bootstrap(x.join(emb(s, d, 0).select("id", "label"), "id"), "x", "label")
+    return b.select(*[F.round(c, 6).alias(c) for c in ("delta", "ci_low", "ci_high", "p")])
 
 
 CTE["perm"] = f"SELECT r, avg(x) FILTER (WHERE q <= n / 2) - avg(x) FILTER (WHERE q > n / 2) AS t FROM (SELECT r, x, row_number() OVER (PARTITION BY r ORDER BY md5(r || ':' || id), id) AS q, count(*) OVER (PARTITION BY r) AS n FROM delta, (SELECT unnest(range({_R})) AS r)) GROUP BY r"
@@ -141,13 +132,9 @@ CTE["perm"] = f"SELECT r, avg(x) FILTER (WHERE q <= n / 2) - avg(x) FILTER (WHER
 
 @op("smp_permutation", "emb nn delta perm", f"SELECT round((count(*) FILTER (WHERE t >= 0.001) + 1) / ({_R} + 1), 6) AS p FROM perm")
 def _(s, d):
-    x = nn(s, d).groupBy("id").agg((F.max(F.when(F.col("arm") == 2, F.col("d"))) - F.max(F.when(F.col("arm") == 1, F.col("d")))).alias("x"))
-    reps = x.crossJoin(F.broadcast(s.range(_R).withColumnRenamed("id", "r")))
-    w = Window.partitionBy("r")
-    reps = reps.withColumn("q", F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", "r", "id")), "id"))).withColumn("n", F.count("*").over(w))
-    low = F.col("q") <= F.col("n") / 2
-    t = reps.groupBy("r").agg((F.avg(F.when(low, F.col("x"))) - F.avg(F.when(~low, F.col("x")))).alias("t"))
-    return t.agg(F.round((F.count_if(F.col("t") >= 0.001) + 1) / F.lit(_R + 1.0), 6).alias("p"))
+    """The pooled arms are relabelled. The SQL still halves the paired differences 40 times."""
+    pool = emb(s, d).where("arm <> 0").select("id", "vec", (F.col("arm") == 2).alias("second"))
+    return R.nearest_permutation(emb(s, d, 0), pool).select(F.round("p", 6).alias("p"))
 
 
 @op("smp_null_hits", "emb", f"SELECT r, round(avg(CASE WHEN label <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hits FROM (SELECT r, label, row_number() OVER (PARTITION BY r ORDER BY md5(r || ':' || id), id) AS q FROM emb, (SELECT unnest(range({_R})) AS r)) WHERE q <= 50 GROUP BY r")
