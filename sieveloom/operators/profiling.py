@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveloom.functions.scores import clamp01, lit
+from sieveloom.operators.similarity import grid
+from sieveloom.runtime import materialize
 
 MAX_BINS = 50
 
@@ -117,31 +119,47 @@ def candidates(total_valleys: int, mci: float, valley_threshold: int = 1, high:
     return list(dict.fromkeys(out or ["percentile"]))[:most]
 
 
-def silhouette(df: DataFrame, features: Sequence[str], label: str, limit: int = 5_000, seed: int = 42) -> DataFrame:
-    """One row: the mean silhouette by Euclidean distance over at most ``limit`` rows in hashed order (the
-    measure is quadratic, the bound is a parameter). Fewer than two labels give 0, singletons count 0."""
+def silhouette(df: DataFrame, features: Sequence[str], label: str, limit: int | None = None, seed: int = 42, block: int = 32_768) -> DataFrame:
+    """One row: the mean silhouette by Euclidean distance over all rows. Fewer than two labels give 0, singletons count 0.
+
+    Pieces of about ``block`` rows are paired; each pair gives a row's summed distance to each label, and the
+    sums are merged, so no pair of rows is materialised. With ``limit`` only so many rows in hashed order count.
+    """
     import pandas as pd
 
-    rows = df.select("id", F.col(label).cast("long").alias("label"), *features).dropna().orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id").limit(limit)
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        x, y = b[list(features)].to_numpy(float), b["label"].to_numpy()
-        kinds = np.unique(y)
-        if len(kinds) < 2:
-            return pd.DataFrame({"silhouette": [0.0]})
-        onehot = (y[:, None] == kinds[None, :]).astype(float)
-        size, out = onehot.sum(0), []
-        for i in range(0, len(x), 500):
-            d = np.sqrt(np.maximum((x[i : i + 500] ** 2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x[i : i + 500] @ x.T, 0))
-            s = d @ onehot
-            own = onehot[i : i + 500].astype(bool)
-            n_own = size[None, :].repeat(len(d), 0)[own]
-            a = s[own] / np.maximum(n_own - 1, 1)
-            other = np.where(own, np.inf, s / size[None, :]).min(1)
-            out.append(np.where(n_own > 1, (other - a) / np.maximum(np.maximum(a, other), 1e-12), 0.0))
-        return pd.DataFrame({"silhouette": [float(np.concatenate(out).mean())]})
-
-    return rows.groupBy().applyInPandas(run, "silhouette double")
+    rows = df.select("id", F.col(label).cast("long").alias("label"), F.array(*[F.col(f).cast("double") for f in features]).alias("vec"), *features).dropna().select("id", "label", "vec")
+    if limit is not None:
+        rows = rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id").limit(limit)
+    rows = materialize(rows)
+    a, b = grid(rows, rows.select("label", "vec", "id"), block)
+
+    def run(_, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        cols = ["id", "own", "label", "s"]
+        if x.empty or y.empty:
+            return pd.DataFrame([], columns=cols)
+        kinds, at = np.unique(y["rlabel"].to_numpy(), return_inverse=True)
+        onehot = np.eye(len(kinds))[at]
+        left, right = np.stack(x["vec"].to_numpy()), np.stack(y["rvec"].to_numpy())
+        left = np.c_[left, (left**2).sum(1), np.ones(len(left))]
+        right = np.c_[-2 * right, np.ones(len(right)), (right**2).sum(1)].T.copy()
+        s = np.zeros((len(left), len(kinds)))
+        for i in range(0, len(left), 256):  # tiles that stay in the cache
+            for j in range(0, right.shape[1], 1024):
+                d = left[i : i + 256] @ right[:, j : j + 1024]
+                s[i : i + 256] += np.sqrt(np.maximum(d, 0, out=d), out=d) @ onehot[j : j + 1024]
+        return pd.DataFrame({"id": np.repeat(x["id"].to_numpy(), len(kinds)), "own": np.repeat(x["label"].to_numpy(), len(kinds)), "label": np.tile(kinds, len(x)), "s": s.ravel()})
+
+    got = a.groupBy("part", "block").cogroup(b.groupBy("rpart", "rblock")).applyInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, own long, label long, s double")
+    sums = got.groupBy("id", "own", "label").agg(F.sum("s").alias("s"))
+    sums = sums.join(rows.groupBy("label").agg(F.count("*").alias("n")), "label")
+    mine = F.col("label") == F.col("own")
+    one = sums.groupBy("id").agg(
+        F.max(F.when(mine, F.col("n"))).alias("n"),
+        F.max(F.when(mine, F.col("s") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a"),
+        F.min(F.when(~mine, F.col("s") / F.col("n"))).alias("b"),
+    )
+    value = F.when((F.col("n") > 1) & F.col("b").isNotNull(), (F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-12))).otherwise(F.lit(0.0))
+    return one.agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("silhouette"))
 
 
 def gmm_bic(df: DataFrame, features: Sequence[str], max_k: int = 4, seed: int = 42):

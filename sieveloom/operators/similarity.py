@@ -23,7 +23,7 @@ def euclid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d, 0))
 
 
-def _grid(left: DataFrame, right: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+def grid(left: DataFrame, right: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """Both sides cut by hash into pieces of about ``block`` rows, each repeated for every piece of the other."""
     blocks, parts = max(1, -(-right.count() // block)), max(1, -(-left.count() // block))
     piece = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
@@ -43,7 +43,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 1, metric: str = "cosine
     dist = {"cosine": cosine, "euclid": euclid}[metric]
     ok = F.col("vec").isNotNull() & (F.size("vec") > 0)
     left, right = left.where(ok).select("id", "vec"), right.where(ok).select("id", "vec")
-    a, b = _grid(left, right.select("id", "vec"), block)
+    a, b = grid(left, right.select("id", "vec"), block)
 
     def run(_, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         cols = ["id", "neighbour", "distance"]
@@ -62,7 +62,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 1, metric: str = "cosine
 def within(left: DataFrame, right: DataFrame, radius: str = "r", metric: str = "euclid", block: int = 4096) -> DataFrame:
     """(id, hits): for each row (id, vec) of left the rows (id, vec, radius) of right whose radius exceeds the distance."""
     dist = {"cosine": cosine, "euclid": euclid}[metric]
-    a, b = _grid(left.select("id", "vec"), right.select("id", "vec", F.col(radius).alias("r")), block)
+    a, b = grid(left.select("id", "vec"), right.select("id", "vec", F.col(radius).alias("r")), block)
 
     def run(_, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
