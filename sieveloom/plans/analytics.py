@@ -231,7 +231,7 @@ def _(s, d):
 
 @op("ml_context_cluster")
 def _(s, d):
-    p = patch(s, d).select(*CONTEXT).where("local_variance < 1e4 and texture_entropy < 4").withColumn("local_variance", F.log1p("local_variance"))
+    p = patch(s, d).select(*CONTEXT).where("local_variance >= 0 and texture_entropy < 4").withColumn("local_variance", F.log1p("local_variance"))
     model, k, x = P.gmm_bic(p, ["local_variance", "texture_entropy"], max_k=3)
     got = model.transform(x) if model else x.withColumn("prediction", F.lit(0))
     return got.groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n")).withColumn("k", F.lit(k))
@@ -341,8 +341,8 @@ def _(s, d):
 
 @op("img_continuity", "patch edges celled", f"SELECT image_id, round(0.6::DOUBLE * max(n) / sum(n) + 0.4::DOUBLE * sum(e) / sum(n), 6) AS continuity FROM (SELECT image_id, split_part(cell_key, '_', 1) AS kind, count(*) AS n, sum(least(1, coalesce(edge_density, 0) / 100)) AS e FROM (SELECT *, {_GRID} FROM celled) WHERE gx < 8 AND gy < 8 GROUP BY 1, 2) GROUP BY image_id")
 def _(s, d):
-    c = _grid(T.celled(s, d)).where("gx < 8 and gy < 8")
-    g = c.groupBy("image_id", F.element_at(F.split("cell_key", "_"), 1).alias("k")).agg(F.count("*").alias("n"), F.sum(F.least(F.lit(1.0), F.coalesce("edge_density", F.lit(0.0)) / 100)).alias("e"))
+    """Over all cells of an image. The SQL still takes the first eight by eight only."""
+    g = T.celled(s, d).groupBy("image_id", F.element_at(F.split("cell_key", "_"), 1).alias("k")).agg(F.count("*").alias("n"), F.sum(F.least(F.lit(1.0), F.coalesce("edge_density", F.lit(0.0)) / 100)).alias("e"))
     return g.groupBy("image_id").agg(F.round(F.lit(0.6) * F.max("n") / F.sum("n") + F.lit(0.4) * F.sum("e") / F.sum("n"), 6).alias("continuity"))
 
 
