@@ -17,13 +17,16 @@ COLUMNS = ["row_id", "cls", "pair", "source", "score", "mean_deficit", "avail",
 OUT = "row_id long, cls string, pair string, seats_round int"
 
 
-def extract(df: DataFrame, top_k: int) -> DataFrame:
-    """Candidates (row_id, class_key, cluster_id, cell_key, source, score, deficit) that could get a seat."""
+def extract(df: DataFrame, top_k: int, source_cap: int | None = 1) -> DataFrame:
+    """Candidates (row_id, class_key, cluster_id, cell_key, source, score, deficit) that could get a seat: one row
+    of a source more than its cap, all of them without a cap, within the best of each class and pair."""
     pair = F.concat_ws("_", F.coalesce(F.col("cluster_id").cast("string"), F.lit("-")), F.col("cell_key"))
     df = df.select("row_id", F.coalesce("class_key", F.lit("_")).alias("cls"), pair.alias("pair"), "source", F.round("score", 9).alias("score"), "deficit")
     stats = df.groupBy("pair").agg(F.round(F.avg("deficit"), 9).alias("mean_deficit"), F.count("*").alias("avail"), F.min("row_id").alias("seen"))
     order = [F.col("score").desc(), F.col("row_id")]
-    best = df.withColumn("_r", F.row_number().over(Window.partitionBy("cls", "pair", "source").orderBy(*order))).where(F.col("_r") <= 2).drop("_r")
+    best = df
+    if source_cap:
+        best = df.withColumn("_r", F.row_number().over(Window.partitionBy("cls", "pair", "source").orderBy(*order))).where(F.col("_r") <= source_cap + 1).drop("_r")
     best = best.withColumn("_r", F.row_number().over(Window.partitionBy("cls", "pair").orderBy(*order))).where(F.col("_r") <= 4 * top_k).drop("_r")
     return best.join(stats, "pair").select(*COLUMNS)
 
@@ -195,4 +198,4 @@ def allocate(df: DataFrame, top_k: int, strategy: str = "pair_aware", pair_cap:
             led.relax(sorted(rows, key=lambda r: (-r.score, r.row_id)))
         return pd.DataFrame(led.rows, columns=["row_id", "cls", "pair", "seats_round"])
 
-    return extract(df, top_k).groupBy().applyInPandas(run, OUT)
+    return extract(df, top_k, source_cap).groupBy().applyInPandas(run, OUT)
