@@ -43,4 +43,26 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY roi_idx ORDER BY score DESC
 P4_FOUND = _P4 + "SELECT roi_idx, normal_id FROM ranked WHERE rank <= 5"
 P4_TOP = _P4 + "SELECT roi_idx, normal_id, score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 5"
 
-ORACLE: dict[str, str] = {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_kept": P3_KEPT, "p4_found": P4_FOUND, "p4_top": P4_TOP}
+_NUM = "^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_CELL = lambda c: f"CASE WHEN regexp_matches(trim({c}), '{_NUM}') AND isfinite(TRY_CAST(trim({c}) AS DOUBLE)) THEN TRY_CAST(trim({c}) AS DOUBLE) END"
+P2_IMAGES = f"""
+WITH cells AS (
+  SELECT image_id, patch_xy,
+    CASE WHEN lower(trim(image_type)) IN ('good', 'ok', 'normal', 'pass') THEN 0
+         WHEN lower(trim(image_type)) IN ('defect', 'ng', 'bad', 'anomaly', 'fail') THEN 1 ELSE 2 END AS kind,
+    {_CELL("local_variance")} AS v, {_CELL("texture_entropy")} AS e
+  FROM context_features),
+patch AS (
+  SELECT image_id, patch_xy, max(kind) AS kind,
+    max(CASE WHEN v >= 0 THEN v END) AS local_variance, max(CASE WHEN e >= 0 AND e <= 3.3219281 + 1e-4 THEN e END) AS texture_entropy
+  FROM cells GROUP BY image_id, patch_xy),
+long AS (
+  SELECT ['good', 'defect', 'unknown'][kind + 1] AS image_kind, image_id, 'local_variance' AS metric, local_variance AS x FROM patch WHERE local_variance IS NOT NULL
+  UNION ALL
+  SELECT ['good', 'defect', 'unknown'][kind + 1], image_id, 'texture_entropy', texture_entropy FROM patch WHERE texture_entropy IS NOT NULL),
+lists AS (SELECT image_kind, image_id, metric, count(*) AS n, list_sort(list(x)) AS xs FROM long GROUP BY ALL HAVING count(*) <= 512)
+SELECT image_kind, image_id, metric, n, p, xs[greatest(1, CAST(ceil(p * n) AS BIGINT))] AS value
+FROM lists CROSS JOIN (SELECT CAST(unnest([0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]) AS DOUBLE) AS p)
+"""
+
+ORACLE: dict[str, str] = {"p2_images": P2_IMAGES, "p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_kept": P3_KEPT, "p4_found": P4_FOUND, "p4_top": P4_TOP}

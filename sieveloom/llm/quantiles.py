@@ -10,6 +10,7 @@ level and adds the sums, so sketches of partitions, files or days combine in any
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -89,6 +90,9 @@ class Sketch:
     def quantiles(self, ps: Sequence[float]) -> list[float]:
         """The value of rank ceil(p * n), exact for p = 0 and 1."""
         self.settle()
+        if len(self.levels) == 1:  # nothing was compacted
+            x = np.sort(self.levels[0])
+            return [float(x[min(len(x) - 1, max(0, math.ceil(p * len(x)) - 1))]) for p in ps]
         x = np.concatenate(self.levels)
         w = np.concatenate([np.full(len(v), 2.0**h) for h, v in enumerate(self.levels)])
         order = np.argsort(x, kind="stable")
@@ -100,40 +104,50 @@ def _schema(df: DataFrame, cols: list[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
 
 
-def sketch(df: DataFrame, by: list[str], values: list[str], *, k: int = K, seed: int = 5, max_items: int = 2_000_000) -> DataFrame:
+def sketch(df: DataFrame, by: list[str], values: list[str], *, sets: dict[str, list[str]] | None = None, k: int = K, seed: int = 5, max_items: int = 2_000_000) -> DataFrame:
     """One sketch per partition, group ``by`` and value column (named in ``metric``).
 
-    Null and NaN values are left out, a null group is a group, an empty table has no sketches. What a
-    task holds is bounded by max_items: beyond it the sketches are handed on and begun anew. Other
-    columns are ignored.
+    sets: name -> some of ``by``; one pass then sketches every grouping set, named in ``level``, and the
+    columns a set leaves out are null. Null and NaN values are left out, a null group is a group, an
+    empty table has no sketches. What a task holds is bounded by max_items: beyond it the sketches are
+    handed on and begun anew. Other columns are ignored. Draws are seeded by partition and group.
     """
-    out = _schema(df, by) + ", metric string, part int, " + SKETCH
+    out = ("level string, " if sets else "") + _schema(df, by) + ", metric string, part int, " + SKETCH
+    groups = list((sets or {"": by}).items())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        rng = np.random.default_rng([seed, part])
         held: dict[tuple, Sketch] = {}
+        items = 0
         for b in batches:
-            for key, idx in b.groupby(by, dropna=False, sort=False).indices.items():
-                key = key if isinstance(key, tuple) else (key,)
-                key = tuple(None if pd.isna(v) else v for v in key)
-                for v in values:
-                    x = b[v].to_numpy(dtype=float)[idx]
-                    x = x[np.isfinite(x)]
-                    if len(x):
-                        held.setdefault((*key, v), Sketch(k, rng)).update(x)
-            if len(held) * 3 * k > max_items and sum(s.waiting + sum(map(len, s.levels)) for s in held.values()) > max_items:
-                yield _frame(held, by, part)
-                held = {}
+            arrays = [b[v].to_numpy(dtype=float) for v in values]
+            for level, cols in groups:
+                for key, idx in b.groupby(cols, dropna=False, sort=False).indices.items():
+                    named = dict(zip(cols, key if isinstance(key, tuple) else (key,)))
+                    key = tuple(None if pd.isna(named.get(c)) else named[c] for c in by)
+                    for v, x in zip(values, arrays):
+                        x = x[idx]
+                        x = x[np.isfinite(x)]
+                        if len(x):
+                            at = (*((level,) if sets else ()), *key, v)
+                            if at not in held:
+                                held[at] = Sketch(k, np.random.default_rng([seed, part, zlib.crc32(repr(at).encode())]))
+                            held[at].update(x)
+                            items += len(x)
+            if items > max_items:
+                items = sum(s.waiting + sum(map(len, s.levels)) for s in held.values())
+                if items > max_items:
+                    yield _frame(held, by, part, bool(sets))
+                    held, items = {}, 0
         if held:
-            yield _frame(held, by, part)
+            yield _frame(held, by, part, bool(sets))
 
     return df.select(*by, *values).mapInPandas(run, out)
 
 
-def _frame(held: dict[tuple, Sketch], by: list[str], part: int) -> pd.DataFrame:
+def _frame(held: dict[tuple, Sketch], by: list[str], part: int, named: bool) -> pd.DataFrame:
     rows = [(*key, np.int32(part), *s.row()) for key, s in held.items()]
-    return pd.DataFrame(rows, columns=[*by, "metric", "part", *FIELDS])
+    return pd.DataFrame(rows, columns=[*(["level"] if named else []), *by, "metric", "part", *FIELDS])
 
 
 def merge(sketches: DataFrame, by: list[str], *, k: int = K, seed: int = 6) -> DataFrame:
@@ -141,42 +155,54 @@ def merge(sketches: DataFrame, by: list[str], *, k: int = K, seed: int = 6) -> D
     out = _schema(sketches, by) + ", " + SKETCH
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        now, s = None, None
+        now, first, s = None, None, None
+        done = lambda: first if s is None else (*now, *s.row())
         for b in batches:  # sorted by group
             rows = []
-            for r in b.itertuples(index=False):
+            for r in b.itertuples(index=False, name=None):
                 key = tuple(None if pd.isna(v) else v for v in r[: len(by)])
                 if key != now:
-                    if s is not None:
-                        rows.append((*now, *s.row()))
-                    now, s = key, Sketch(k, rng)
-                s.merge(*r[len(by) :])
+                    if now is not None:
+                        rows.append(done())
+                    now, first, s = key, (*key, *r[len(by) :]), None  # a sketch alone stays as it is
+                else:
+                    if s is None:
+                        s = Sketch(k, np.random.default_rng([seed, zlib.crc32(repr(key).encode())]))
+                        s.merge(*first[len(by) :])
+                    s.merge(*r[len(by) :])
             yield pd.DataFrame(rows, columns=[*by, *FIELDS])
-        if s is not None:
-            yield pd.DataFrame([(*now, *s.row())], columns=[*by, *FIELDS])
+        if now is not None:
+            yield pd.DataFrame([done()], columns=[*by, *FIELDS])
 
-    return sketches.select(*by, *FIELDS).repartition(*by).sortWithinPartitions(*by, "n", "lo", "hi").mapInPandas(run, out)
+    return sketches.select(*by, *FIELDS).repartition(*by).sortWithinPartitions(*by, "n", "lo", "hi", "items").mapInPandas(run, out)
 
 
 def merge_tree(sketches: DataFrame, by: list[str], *, fan_in: int = 256, k: int = K) -> DataFrame:
-    """First within ranges of fan_in partitions, so that a group never meets more sketches than that."""
-    near = merge(sketches.withColumn("part", F.floor(F.col("part") / fan_in).cast("int")), [*by, "part"], k=k)
-    return materialize(near)
+    """Merge ranges of fan_in partitions, then ranges of those, until one is left: no task ever meets more
+    than fan_in sketches of a group (but for those that max_items divided)."""
+    now = materialize(sketches)
+    last = now.agg(F.max("part")).first()[0] or 0
+    while True:
+        last //= fan_in
+        now = materialize(merge(now.withColumn("part", F.floor(F.col("part") / fan_in).cast("int")), [*by, "part"], k=k))
+        if not last:
+            return now
+
 
+def percentiles(sketches: DataFrame, by: list[str], ps: Sequence[float], *, k: int = K, delta: float = 1e-3) -> DataFrame:
+    """Per group and p: the value, the bound on its rank error and the confidence 1 - delta.
 
-def percentiles(sketches: DataFrame, by: list[str], ps: Sequence[float], *, delta: float = 1e-3) -> DataFrame:
-    """Per group and p: the value, the bound on its rank error and the confidence 1 - delta."""
+    k: of the sketches, so that reading them compacts nothing."""
     out = _schema(sketches, by) + ", n long, p double, value double, rank_error double, confidence double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for r in b.to_dict("records"):
-                s = Sketch()
-                s.merge(*[r[c] for c in FIELDS])
+            for r in b[[*by, *FIELDS]].itertuples(index=False, name=None):
+                s = Sketch(k)
+                s.merge(*r[len(by) :])
                 if s.n:
-                    rows += [(*[r[c] for c in by], s.n, p, v, s.error(delta), 1 - delta) for p, v in zip(ps, s.quantiles(ps))]
+                    rows += [(*r[: len(by)], s.n, p, v, s.error(delta), 1 - delta) for p, v in zip(ps, s.quantiles(ps))]
             yield pd.DataFrame(rows, columns=[*by, "n", "p", "value", "rank_error", "confidence"])
 
     return sketches.mapInPandas(run, out)

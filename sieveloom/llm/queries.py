@@ -47,28 +47,50 @@ PERCENTILES = [0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]
 MAX_ENTROPY = 3.3219281
 
 
+#: Height in pixels of the bands by which one image's patches are spread; a patch of no readable place has a band by its hash.
+BAND = 4096
+
+
 def patches(spark: SparkSession, d: str) -> DataFrame:
-    """One row a patch, however often delivered, with the meaning of image_type and valid values only."""
+    """One row a patch, however often delivered, with the meaning of image_type and valid values only.
+
+    Deliveries meet by image and band of rows, so an image's patches come together, and those of a scan
+    without an end are spread over its bands. ``day`` counts from 1970.
+    """
     t = F.lower(F.trim("image_type"))
     kind = F.when(t.isin(GOOD), 0).when(t.isin(DEFECT), 1).otherwise(2)
     v, e = number("local_variance"), number("texture_entropy")
-    df = read(spark, d, "context_features").select("image_id", "patch_xy", F.to_date("profiled_at").alias("day"), kind.alias("kind"), F.when(v >= 0, v).alias("local_variance"), F.when((e >= 0) & (e <= MAX_ENTROPY + 1e-4), e).alias("texture_entropy"))
-    one = df.groupBy("image_id", "patch_xy").agg(*[F.max(c).alias(c) for c in ("day", "kind", *METRICS)])
-    return one.select(F.element_at(F.array(F.lit("good"), F.lit("defect"), F.lit("unknown")), F.col("kind") + 1).alias("image_kind"), "day", *METRICS)
+    row = F.element_at(F.split("patch_xy", "_"), -1).try_cast("long")
+    band = F.coalesce(F.floor(row / BAND), F.pmod(F.xxhash64("patch_xy"), F.lit(64)))
+    df = read(spark, d, "context_features").select("image_id", "patch_xy", band.alias("band"), F.unix_date(F.to_date("profiled_at")).alias("day"), kind.alias("kind"), F.when(v >= 0, v).alias("local_variance"), F.when((e >= 0) & (e <= MAX_ENTROPY + 1e-4), e).alias("texture_entropy"))
+    one = df.repartition("image_id", "band").groupBy("image_id", "band", "patch_xy").agg(*[F.max(c).alias(c) for c in ("day", "kind", *METRICS)])
+    return one.select(F.element_at(F.array(F.lit("good"), F.lit("defect"), F.lit("unknown")), F.col("kind") + 1).alias("image_kind"), "day", "image_id", *METRICS)
+
 
+SETS = {"day": ["image_kind", "day"], "image": ["image_kind", "image_id"]}
+BY = ["level", "image_kind", "day", "image_id", "metric"]
 
-def day_sketches(spark: SparkSession, d: str) -> DataFrame:
-    return quantiles.merge_tree(quantiles.sketch(patches(spark, d), ["image_kind", "day"], METRICS), ["image_kind", "day", "metric"])
+
+def p2_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches of single days and of single images, which can be put together with others of their kind."""
+    return quantiles.merge_tree(quantiles.sketch(patches(spark, d), ["image_kind", "day", "image_id"], METRICS, sets=SETS), BY)
 
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    by = ["image_kind", "metric"]
-    return quantiles.percentiles(quantiles.merge(day_sketches(spark, d), by), by, PERCENTILES)
+    """Percentiles of each image, of each day and, put together from the days, of all."""
+    parts = p2_sketches(spark, d)
+    whole = parts.where("level = 'day'").withColumns({"level": F.lit("all"), "day": F.lit(None).cast("int")})
+    x = quantiles.percentiles(parts.select(*BY, *quantiles.FIELDS).unionByName(quantiles.merge(whole, BY)), BY, PERCENTILES)
+    return x.withColumn("day", F.date_from_unix_date("day"))
 
 
 def p2_daily(spark: SparkSession, d: str) -> DataFrame:
-    by = ["image_kind", "day", "metric"]
-    return quantiles.percentiles(quantiles.merge(day_sketches(spark, d), by), by, PERCENTILES)
+    return p2_percentiles(spark, d).where("level = 'day'").drop("level", "image_id")
+
+
+def p2_images(spark: SparkSession, d: str) -> DataFrame:
+    """Images small enough to have been sketched without a compaction."""
+    return p2_percentiles(spark, d).where("level = 'image' and rank_error = 0").select("image_kind", "image_id", "metric", "n", "p", "value")
 
 
 CAPS = capping.Caps("image", ["cluster_id", "cell_key"], "row_id", "quality", inner=3, outer=25)
@@ -199,6 +221,7 @@ QUERIES: dict[str, Query] = {
     "p1_sample": p1_sample,
     "p2_percentiles": p2_percentiles,
     "p2_daily": p2_daily,
+    "p2_images": p2_images,
     "p3_found": p3_found,
     "p3_kept": p3_kept,
     "p4_found": p4_found,

@@ -121,6 +121,28 @@ def test_percentiles_of_groups_days_and_nothing(spark):
     assert quantiles.percentiles(quantiles.merge(quantiles.sketch(df.limit(0), ["k"], ["v"]), ["k", "metric"]), ["k", "metric"], [0.5]).count() == 0
 
 
+def test_grouping_sets_and_a_tree_of_many_levels(spark):
+    rng = np.random.default_rng(3)
+    rows = [("hot" if i % 3 else f"i{i % 60}", i % 4, float(x)) for i, x in enumerate(rng.lognormal(size=9000))]
+    df = spark.createDataFrame(rows, "image string, day int, v double").repartition(13)
+    by = ["level", "day", "image", "metric"]
+    sk = quantiles.sketch(df, ["day", "image"], ["v"], sets={"day": ["day"], "image": ["image"]}, k=64)
+    got = quantiles.percentiles(quantiles.merge_tree(sk, by, fan_in=3, k=64), by, [0.0, 0.25, 0.5, 0.99, 1.0], k=64).collect()
+    want = {("day", d, None): np.sort([x for _, e, x in rows if e == d]) for d in range(4)} | {("image", None, i): np.sort([x for j, _, x in rows if j == i]) for i in {r[0] for r in rows}}
+    assert len(got) == 5 * len(want)
+    for r in got:
+        xs = want[(r["level"], r["day"], r["image"])]
+        lo, hi = np.searchsorted(xs, r["value"], "left") / len(xs), np.searchsorted(xs, r["value"], "right") / len(xs)
+        assert r["n"] == len(xs) and lo - r["rank_error"] - 1 / len(xs) <= r["p"] <= hi + r["rank_error"] + 1 / len(xs)
+        assert (r["rank_error"] == 0) == (len(xs) <= 64)
+
+
+def test_a_larger_k_compacts_nothing_when_read(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(1500)], "v double").coalesce(1).selectExpr("'g' as g", "v")
+    sk = quantiles.merge_tree(quantiles.sketch(df, ["g"], ["v"], k=2000), ["g", "metric"], k=2000)
+    assert [r["value"] for r in quantiles.percentiles(sk, ["g"], [0.1, 0.5], k=2000).collect()] == [149.0, 749.0]
+
+
 # ---- 3: caps ------------------------------------------------------------------------------------
 
 CAPS = capping.Caps("image", ["c", "cell"], "row_id", "q", inner=2, outer=3)
