@@ -197,14 +197,18 @@ def _p9(spark: SparkSession, d: str) -> DataFrame:
     return language.detect(read(spark, d, "documents"), read(spark, d, "language_samples"))
 
 
+def _code(spark: SparkSession, d: str):
+    return language.label_code(F.col("label"), language.known(read(spark, d, "language_samples")))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    code = language.label_code(F.col("label"))
+    code = _code(spark, d)
     wrong = (F.size("langs") > 1) | ((F.size("langs") == 1) & ~F.element_at("langs", 1).eqNullSafe(code))
     return _p9(spark, d).where(F.col("doc_id").isNotNull() & wrong).select("doc_id", F.explode("langs").alias("lang"))
 
 
 def p9_labels(spark: SparkSession, d: str) -> DataFrame:
-    code = language.label_code(F.col("label"))
+    code = _code(spark, d)
     status = F.when(F.col("lang").isNull(), "no sentence").when(code.isNull(), "missing").when(code == F.col("lang"), "right").otherwise("wrong")
     return _p9(spark, d).select("doc_id", "label", "lang", "confidence", (F.size("langs") > 1).alias("mixed"), status.alias("status"))
 

@@ -8,7 +8,7 @@ import unicodedata
 
 #: Characters that show nothing: soft hyphen, zero-width, direction and byte order marks.
 INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤⁦-⁩︀-️﻿]")
-TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>")
+TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 WORD = re.compile(r"[^\W_]+")
 
 

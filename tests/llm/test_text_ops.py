@@ -157,6 +157,16 @@ def test_sentences_and_what_is_none():
         assert L.candidates(none) == []
 
 
+def test_no_text_costs_more_than_its_length():
+    import time
+
+    n = 200_000
+    for t in ("." * n + "x", "a" * n, "\r" * n + "x", "漢" * n, "a." * n, "<a " * n, "`" * n, "a@" * n, "1" * n, "!" * n + " ", "_" * n):
+        began = time.perf_counter()
+        L.candidates(t)
+        assert time.perf_counter() - began < 5
+
+
 @pytest.mark.skipif(not os.path.exists(SAMPLES), reason="no test data")
 class TestLanguages:
     @pytest.fixture(scope="class")
@@ -171,6 +181,39 @@ class TestLanguages:
         right = np.mean([k >= 0 and model.langs[k] == x for k, (x, _) in zip(lang, pairs)])
         assert right > 0.97 and ((conf >= 0) & (conf <= 1)).all()
 
+    def test_other_languages_are_rejected(self, table):
+        model = L.fit([(r["lang"], r["text"]) for r in table.collect()])
+        foreign = [
+            "wczoraj po południu zauważyliśmy nową rysę na powierzchni blachy i zatrzymaliśmy linię",
+            "a tegnapi műszakban három új karcolást találtunk a lemez felületén és leállítottuk a gépet",
+            "ieri după amiază am observat o zgârietură nouă pe suprafața tablei și am oprit linia",
+            "eilen iltapäivällä huomasimme uuden naarmun levyn pinnassa ja pysäytimme linjan",
+            "dün öğleden sonra sacın yüzeyinde yeni bir çizik fark ettik ve hattı durdurduk",
+            "вчера после обеда мы заметили новую царапину на поверхности листа",
+            "xkq zvbt wplr mnjd ghtr qzxv bnmk lkjh",
+        ]
+        lang, conf = model.classify(foreign)
+        assert lang.tolist() == [-1] * len(foreign) and not conf.any()
+
+    def test_all_centroids_are_compared_in_any_company(self, table):
+        rows = table.collect()
+        model = L.fit([(r["lang"], r["text"]) for r in rows])
+        texts = [s for r in rows for _, s in L.candidates(r["text"])][:60]
+        sid, h, w = model.vectors(texts)
+        dense = np.zeros((len(texts), 1 << L.BITS), dtype=np.float32)
+        dense[sid, h] = w
+        want = np.stack([(dense @ model.centroids)[:, model.lang_of == k].max(axis=1) for k in range(len(model.langs))], axis=1)
+        assert np.allclose(model.cosines(texts), want, atol=1e-5) and np.allclose(model.cosines(texts, most=7, letters=90), want, atol=1e-5)
+
+    def test_a_language_more(self, spark, table):
+        sv = ["Operatören stoppade bandet och skrev in stoppet i loggen.", "Provet visade en spricka som följer kanten på plåten.", "Vi bytte lampan igår men bilden är fortfarande för mörk."]
+        more = table.select("lang", "text").unionByName(spark.createDataFrame([("sv", x) for x in sv], "lang string, text string"))
+        langs = L.known(more)
+        df = spark.createDataFrame([("sv",), ("sv-SE",), ("English",), ("xx",)], "l string")
+        assert [r[0] for r in df.select(L.label_code(F.col("l"), langs)).collect()] == ["sv", "sv", "en", None]
+        docs = spark.createDataFrame([(1, sv[0], "sv")], "doc_id long, text string, lang string")
+        assert [r["langs"] for r in L.detect(docs, more).collect()] == [["sv"]]
+
     def test_documents(self, spark, table):
         de = "Der Hintergrund ist zu unruhig, deshalb wirkt eine offene Pore dort nicht glaubwürdig."
         en = "We decided to lower the line speed after 510 false alarms in one hour."
