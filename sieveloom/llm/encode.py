@@ -136,8 +136,9 @@ class Encoder:
             at += len(self.v.tokens[i])
             if at > limit:
                 break
-            # a cut is made between characters and not before an apostrophe, which may start a contraction
-            if data[at] & 0xC0 != 0x80 and data[at] != 0x27:
+            # a cut is made between characters; what follows it belongs to the pre-token, so that an apostrophe
+            # behind the cut is followed by a mark and can't start a contraction
+            if data[at] & 0xC0 != 0x80:
                 good, cut = n, at
         if good:
             out.extend(ids[:good])

@@ -50,6 +50,15 @@ class TestEncoding:
             assert out + enc.finish() == reference(text)
             assert most <= 4 * vocabulary.lookahead + 200
 
+    @pytest.mark.parametrize("unit", ["'", "'''-", " '"])
+    def test_apostrophes_keep_a_bounded_rest(self, vocabulary, reference, unit):
+        text = unit * (1_000_000 // len(unit)) + "'s it's"
+        enc, out, most = E.Encoder(vocabulary), [], 0
+        for i in range(0, len(text), 5000):
+            out += enc.feed(text[i : i + 5000])
+            most = max(most, len(enc.rest))
+        assert out + enc.finish() == reference(text) and most <= 4 * vocabulary.lookahead + 5000
+
     def test_decoder_waits_for_whole_characters(self, vocabulary):
         d = E.Decoder(vocabulary)
         ids = [vocabulary.byte_id[b] for b in "é好".encode()]
