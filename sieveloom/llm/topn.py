@@ -21,14 +21,20 @@ def _shrink(b: pd.DataFrame, n: int) -> pd.DataFrame:
     return b[b.groupby("g", sort=False).cumcount() < n]
 
 
-def _partial(n: int, max_rows: int):
+def _partial(n: int, max_rows: int, least: int = 50_000):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held, new, waiting = None, [], 0
         for b in batches:
-            held = _shrink(b if held is None else pd.concat([held, b], ignore_index=True), n)
+            new.append(b)
+            waiting += len(b)
+            if waiting < max(least, 0 if held is None else len(held)):  # sorted again only when the rows have doubled
+                continue
+            held, new, waiting = _shrink(pd.concat(new if held is None else [held, *new], ignore_index=True), n), [], 0
             if len(held) > max_rows:  # merged again after the shuffle
                 yield held
                 held = None
+        if new:
+            held = _shrink(pd.concat(new if held is None else [held, *new], ignore_index=True), n)
         if held is not None and len(held):
             yield held
 
@@ -38,13 +44,14 @@ def _partial(n: int, max_rows: int):
 def _final(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
+        ranked = lambda x: x.assign(rank=(x.groupby("g", sort=False).cumcount() + 1).astype(np.int32))
         for b in batches:  # sorted by group: all but the last group are complete
             held = _shrink(b if held is None else pd.concat([held, b], ignore_index=True), n)
             last = held["g"].to_numpy() == held["g"].iloc[-1] if len(held) else np.zeros(0, bool)
-            yield held[~last]
+            yield ranked(held[~last])
             held = held[last]
         if held is not None and len(held):
-            yield held
+            yield ranked(held)
 
     return run
 
@@ -60,16 +67,9 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int, *, max_rows:
     rows = df.select(F.col(group).alias("g"), F.col(item).alias("i"), F.col(score).cast("double").alias("s"))
     rows = rows.where(F.col("g").isNotNull() & F.col("i").isNotNull() & F.col("s").isNotNull() & ~F.isnan("s"))
     schema = f"g {rows.schema['g'].dataType.simpleString()}, i {rows.schema['i'].dataType.simpleString()}, s double"
-    part = rows.mapInPandas(_partial(n, max_rows), schema)
-    done = part.repartition("g").sortWithinPartitions("g").mapInPandas(_final(n), schema)
-    ranked = F.row_number().over(_by("g", "s", "i"))
-    return done.withColumn("rank", ranked).select(F.col("g").alias(group), F.col("i").alias(item), F.col("s").alias(score), "rank")
-
-
-def _by(g: str, s: str, i: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(g).orderBy(F.col(s).desc(), F.col(i).asc())
+    part = rows.mapInPandas(_partial(n, max_rows, min(50_000, max_rows)), schema)
+    done = part.repartition("g").sortWithinPartitions("g").mapInPandas(_final(n), schema + ", rank int")
+    return done.select(F.col("g").alias(group), F.col("i").alias(item), F.col("s").alias(score), "rank")
 
 
 def best_of_array(array: str, item: str, score: str, n: int):
