@@ -97,11 +97,30 @@ def test_equal_records_and_ties(spark):
 def test_loose_components_are_split_around_medoids(spark):
     rows = [(i, [i, 0], 10, 100 - abs(i - 5) if i < 12 else 50 - abs(i - 25), 0) for i in range(30)]
     df = spark.createDataFrame(rows, "class long, cells array<int>, n long, degree long, cluster long")
-    out = C.split_loose(df, 5, 0.35, 0.05, 20)
+    out = C.split_loose(df, 5, 0.35, 0.05)
     got = {r["class"]: r["cluster"] for r in out.collect()}
     assert len(got) == 30 and len(set(got.values())) > 1
 
 
+def test_a_chain_of_many_balls_is_split_to_its_end(spark):
+    """More balls than any fixed number of turns: no component is loose afterwards."""
+    df = spark.createDataFrame([(i, [4 * i, 0], 1, 1, 0) for i in range(70)], "class long, cells array<int>, n long, degree long, cluster long")
+    groups = {}
+    for r in C.split_loose(df, 5, 0.35, 0.05).collect():
+        groups.setdefault(r["cluster"], []).append(r["cells"][0])
+    assert sum(map(len, groups.values())) == 70 and len(groups) > 20
+    for xs in groups.values():
+        assert max(xs) - min(xs) <= 8
+
+
+def test_buckets_in_pieces_give_the_same_clusters(spark):
+    rows, _ = planted()
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double")
+    one, many = (C.cluster(df, "id", FEATURES, GRID, piece=k) for k in (2_000, 3))
+    key = lambda x: sorted(tuple(r) for r in x.collect())
+    assert key(one) == key(many)
+
+
 # ---- photographs and splits ---------------------------------------------------------------------
 
 NAMES = {
