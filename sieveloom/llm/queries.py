@@ -164,19 +164,26 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_splits(spark: SparkSession, d: str) -> DataFrame:
     rows = _p6(spark, d)
-    shares = {r["split_name"]: r["share"] for r in read(spark, d, "split_targets").limit(100).collect()}
+    shares = splits.split_shares(read(spark, d, "split_targets"))
     done = splits.grouped_splits(rows, "component", "defect_type", shares)
     return rows.join(done, "component").select(F.col("id").alias("morph_id"), F.col("component").alias("photograph"), "split")
 
 
 def p6_shares(spark: SparkSession, d: str) -> DataFrame:
     rows = _p6(spark, d)
-    shares = {r["split_name"]: r["share"] for r in read(spark, d, "split_targets").limit(100).collect()}
+    shares = splits.split_shares(read(spark, d, "split_targets"))
     done = splits.grouped_splits(rows, "component", "defect_type", shares)
     n = rows.join(done, "component").groupBy("defect_type", "split").agg(F.count("*").alias("n"))
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("defect_type")))
 
 
+def p6_endings(spark: SparkSession, d: str) -> DataFrame:
+    """Endings of capture names that no pattern took off, with the number of photographs that have them."""
+    m = read(spark, d, "morphology_features")
+    by_path, _ = splits.photo_keys("image_id", "image_path", "defect_type")
+    return m.select(by_path.alias("name")).distinct().select(splits.unknown_endings(F.col("name")).alias("ending")).where("ending is not null").groupBy("ending").agg(F.count("*").alias("photographs"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_column(read(spark, d, "documents"), "doc_id", "text")
 
@@ -235,6 +242,7 @@ QUERIES: dict[str, Query] = {
     "p6_found": p6_found,
     "p6_splits": p6_splits,
     "p6_shares": p6_shares,
+    "p6_endings": p6_endings,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
     "p8_found": p8_found,

@@ -172,3 +172,34 @@ def test_splits_keep_groups_and_shares(spark, shard_rows):
         for s, share in shares.items():
             assert abs(mine.count(s) / len(mine) - share) < (0.04 if label != "rare" else 0.06)
     assert P.grouped_splits(df.limit(0), "component", "label", shares).count() == 0
+
+
+def test_rare_labels_are_shared_out_over_many_shards(spark):
+    """A label with one or two records in each of many shards still follows the shares."""
+    rows = [(f"g{i}", "rare" if i % 40 == 0 else "x") for i in range(8000)]
+    df = spark.createDataFrame(rows, "component string, label string")
+    shares = {"train": 0.8, "validation": 0.1, "test": 0.1}
+    got = {r["component"]: r["split"] for r in P.grouped_splits(df, "component", "label", shares, shard_rows=60).collect()}
+    assert len(got) == 8000
+    for label, slack in (("rare", 2), ("x", 80)):
+        mine = [got[c] for c, v in rows if v == label]
+        for s, share in shares.items():
+            assert abs(mine.count(s) - share * len(mine)) <= slack
+
+
+def test_staircase_sums_to_the_shares():
+    rng = np.random.default_rng(0)
+    part = np.array([[0.7, 0.5], [0.2, 0.25], [0.1, 0.25]])
+    before, given = np.zeros(2), np.zeros((3, 2))
+    for _ in range(300):
+        own = rng.integers(0, 4, 2).astype(float)
+        given += P.staircase(before, own, part)
+        before += own
+        assert np.abs(given - part * before).max() <= 1 and np.allclose(given.sum(axis=0), before)
+
+
+def test_shares_of_splits(spark):
+    df = spark.createDataFrame([("a", 0.5), ("b", None), ("c", 0.0), (None, 0.2)], "split_name string, share double")
+    assert P.split_shares(df) == {"a": 0.5}
+    with pytest.raises(ValueError):
+        P.split_shares(spark.createDataFrame([(str(i), 0.1) for i in range(5)], "split_name string, share double"), most=4)
