@@ -97,25 +97,32 @@ CAPS = capping.Caps("image", ["cluster_id", "cell_key"], "row_id", "quality", in
 BATCHES = 3
 
 
-def _seconds(c):
-    return c.cast("timestamp").cast("double")
-
-
 def _p3(spark: SparkSession, d: str) -> capping.State:
-    valid = R.roi_records(spark, d, {"image": R.canonical_id("image_id"), "cluster_id": F.col("cluster_id"), "cell_key": F.col("cell_key"), "quality": R.quality(), "at": F.col("loaded_at")})
-    span = read(spark, d, "roi_candidates").agg(_seconds(F.min("loaded_at")).alias("a"), _seconds(F.max("loaded_at")).alias("b")).first()
-    a, b = span["a"] or 0.0, span["b"] or 0.0
-    no = F.floor((_seconds(F.col("at")) - a) / max(b - a, 1e-6) * BATCHES)
-    valid = valid.withColumn("batch", F.coalesce(F.least(F.greatest(no, F.lit(0)), F.lit(BATCHES - 1)), F.lit(0)).cast("int")).drop("at")
-    return capping.cap_in_batches(CAPS, materialize(valid), "batch", BATCHES)
+    """The deliveries in batches by loaded_at, as they come: later ones may bring known records again."""
+    df = read(spark, d, "roi_candidates")
+    span = df.agg(F.unix_micros(F.min(F.to_utc_timestamp("loaded_at", "UTC"))).alias("a"), F.unix_micros(F.max(F.to_utc_timestamp("loaded_at", "UTC"))).alias("b")).first()
+    a, b = span["a"] or 0, span["b"] or 0
+    cuts = [F.timestamp_micros(F.lit(a + (b - a) * i // BATCHES)) for i in range(1, BATCHES)]
+    at = F.to_utc_timestamp("loaded_at", "UTC")
+    body = {"image": R.canonical_id("image_id"), "cluster_id": F.col("cluster_id"), "cell_key": F.col("cell_key"), "quality": R.quality()}
+    df = df.select("row_id", "loaded_at", at.alias("at"), *[e.alias(c) for c, e in body.items()])
+    batches = []
+    for i in range(BATCHES):
+        mine = F.lit(True) if i == 0 else F.col("at") >= cuts[i - 1]
+        if i < BATCHES - 1:
+            mine = mine & (F.col("at") < cuts[i])
+        if i == 0:
+            mine = mine | F.col("at").isNull()
+        batches.append(materialize(R.latest(df.where(mine), "row_id", list(body))))
+    return capping.cap_in_batches(CAPS, batches)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p3(spark, d).displaced.select("row_id")
+    return _p3(spark, d).log.select("row_id")
 
 
 def p3_kept(spark: SparkSession, d: str) -> DataFrame:
-    return _p3(spark, d).kept
+    return _p3(spark, d).kept.select(*CAPS.columns)
 
 
 def p4_top(spark: SparkSession, d: str) -> DataFrame:

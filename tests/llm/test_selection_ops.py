@@ -165,10 +165,10 @@ def test_caps_in_batches_equal_the_whole(spark, batches):
     rng = random.Random(batches)
     rows = [(i, rng.choice(["hot"] * 5 + ["a", "b", None]), rng.choice([0, 1, None]), rng.choice(["x", "none", None]), rng.choice([0.1, 0.5, 0.5, 0.9, float("inf")]), rng.randrange(batches), "clash") for i in range(300)]
     df = spark.createDataFrame(rows, SCHEMA)
-    state = capping.cap_in_batches(CAPS, df, "batch", batches)
+    state = capping.cap_in_batches(CAPS, [df.where(F.col("batch") == i) for i in range(batches)])
     kept, gone = cut_off([r[:5] for r in rows], 2, 3)
     assert {r["row_id"] for r in state.kept.collect()} == kept
-    out = [r["row_id"] for r in state.displaced.collect()]
+    out = [r["row_id"] for r in state.log.collect()]
     assert len(out) == len(set(out)) and set(out) == gone
 
 
@@ -176,18 +176,46 @@ def test_redelivered_records_bring_displaced_ones_back(spark):
     rows = [(1, "a", 0, "x", 0.9), (2, "a", 0, "x", 0.8), (3, "a", 0, "x", 0.7), (4, "b", 0, "x", 0.5)]
     s = "row_id long, image string, c int, cell string, q double"
     first = capping.apply_batch(CAPS, None, spark.createDataFrame(rows, s))
-    assert {r["row_id"] for r in first.displaced.collect()} == {3}
-    state, log = capping.revise(CAPS, first, first.displaced, spark.createDataFrame([(1, "a", 0, "x", 0.1)], s))
+    assert {r["row_id"] for r in first.log.collect()} == {3}
+    state = capping.revise(CAPS, first, spark.createDataFrame([(1, "a", 0, "x", 0.1)], s))
     assert {r["row_id"] for r in state.kept.collect()} == {2, 3, 4}
-    assert {(r["row_id"], r["q"]) for r in log.collect()} == {(1, 0.1)}
+    assert {(r["row_id"], r["q"]) for r in state.log.collect()} == {(1, 0.1)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_redeliveries_in_any_batch_equal_the_whole(spark, seed):
+    """Records come again better, worse, in another group or for another contributor."""
+    rng = random.Random(seed)
+    make = lambda i, b: (i, rng.choice(["hot"] * 4 + ["a", "b", None]), rng.choice([0, 1, None]), rng.choice(["x", None]), rng.choice([0.1, 0.3, 0.5, 0.5, 0.9]), b, "clash")
+    batches = [[make(i, 0) for i in range(120)]]
+    for b in (1, 2, 3):
+        again = rng.sample(range(120 + 30 * (b - 1)), 25)
+        batches.append([make(i, b) for i in again] + [make(i, b) for i in range(120 + 30 * (b - 1), 120 + 30 * b)])
+    valid = {r[0]: r for rows in batches for r in rows}
+    state = capping.cap_in_batches(CAPS, [spark.createDataFrame(rows, SCHEMA) for rows in batches])
+    kept, gone = cut_off([r[:5] for r in valid.values()], 2, 3)
+    assert {r["row_id"] for r in state.kept.collect()} == kept
+    log = [tuple(r)[:5] for r in state.log.select(*CAPS.columns).collect()]
+    assert len(log) == len(gone) and {r[0] for r in log} == gone and all(valid[r[0]][:5] == r for r in log)
+
+
+def test_a_task_alone_displaces_only_what_the_whole_does(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["hot"] * 8 + ["a", None]), rng.choice([0, 1, None]), rng.choice(["x", None]), rng.choice([0.1, 0.5, 0.5, 0.9]), 0, "") for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    kept, gone = cut_off([r[:5] for r in rows], 2, 3)
+    for max_rows in (1, 10_000):
+        got = {r["row_id"]: r["_out"] for r in capping.outlasting(CAPS, df, max_rows).collect()}
+        assert len(got) == 400 and not {i for i, out in got.items() if out} & kept
+    assert sum(got.values()) > 300
 
 
 def test_caps_of_nothing_and_empty_batches(spark):
     none = spark.createDataFrame([], SCHEMA)
     one = spark.createDataFrame([(1, None, None, None, 1.0, 0, "")], SCHEMA)
     state = capping.apply_batch(CAPS, capping.apply_batch(CAPS, None, none), one)
-    assert state.kept.count() == 1 and state.displaced.count() == 0
-    assert capping.apply_batch(CAPS, state, none).kept.count() == 1
+    assert state.kept.count() == 1 and state.log.count() == 0
+    assert capping.revise(CAPS, state, none).kept.count() == 1
 
 
 def test_quality_rule(spark):
