@@ -1,175 +1,259 @@
 """Passages of test items in a corpus.
 
-Every window of ``least`` words of an item has a seed: of its n-grams the one found in the fewest
-documents of the whole corpus. A document that holds a window holds its seed, so no copy is missed,
-and few others are looked at. Around seeds, Smith-Waterman alignment scores exact, edited and
-paraphrased copies; the longest run of equal words decides on exact ones.
+Seeds are rare n-grams of the items: of every window of ``least`` words the n-gram found least often in
+the whole corpus, and every other one below a share of it. A document that holds a window holds its seed,
+so no exact copy is missed, and edited copies keep some of the others. The corpus is read once: a bitmap
+of the items' n-grams, of bounded size, picks the stretches that may hold one; seeds and stretches are
+then joined. Around seeds, Smith-Waterman alignment scores exact, edited and paraphrased copies; of the
+alignments that score enough, the longest run of equal words tells the exact ones.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveloom.llm.words import WORD, plain, words
-from sieveloom.runtime import materialize
+from sieveloom.runtime import broadcast_if_small, materialize
 
 N = 5
 LEAST = 10
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Bits of the bitmap of item n-grams: at least, at most (32 MB).
+BITS = 1 << 20, 1 << 28
 
 
-@dataclass
-class Items:
-    """A block of test items in integers; its size is bounded by the caller."""
-
-    ids: list[int] = field(default_factory=list)
-    tokens: list[np.ndarray] = field(default_factory=list)
-    word_of: list[np.ndarray] = field(default_factory=list)  # number of the item's word of each token
-    vocab: dict[str, int] = field(default_factory=dict)
-    grams: dict[tuple[int, ...], int] = field(default_factory=dict)
-    at: list[list[tuple[int, int]]] = field(default_factory=list)  # places of each gram: item, position
-
-    def add(self, item_id: int, text: str | None) -> None:
-        split = [t for w in plain(text or "").split() if (t := WORD.findall(w))]
-        tok = np.array([self.vocab.setdefault(t, len(self.vocab)) for w in split for t in w], dtype=np.int32)
-        k = len(self.ids)
-        self.ids.append(item_id)
-        self.tokens.append(tok)
-        self.word_of.append(np.array([i for i, w in enumerate(split) for _ in w], dtype=np.int32))
-        for i in range(len(tok) - N + 1):
-            g = self.grams.setdefault(tuple(tok[i : i + N].tolist()), len(self.grams))
-            if g == len(self.at):
-                self.at.append([])
-            self.at[g].append((k, i))
-
-    @property
-    def longest(self) -> int:
-        return max([len(t) for t in self.tokens], default=0)
-
-    def seeds(self, found_in: dict[int, int], least: int) -> dict[int, list[tuple[int, int]]]:
-        """Of each window of ``least`` words the rarest gram, with its places in the items."""
-        out: dict[int, set[tuple[int, int]]] = {}
-        for k, (tok, word) in enumerate(zip(self.tokens, self.word_of)):
-            gram = [self.grams[tuple(tok[i : i + N].tolist())] for i in range(len(tok) - N + 1)]
-            for w in range(int(word[-1]) - least + 2 if len(word) else 0):
-                a, b = np.searchsorted(word, w), np.searchsorted(word, w + least)
-                if b - a >= N:
-                    best = min(range(a, b - N + 1), key=lambda i: (found_in.get(gram[i], 0), gram[i], i))
-                    out.setdefault(gram[best], set()).add((k, best))
-        return {g: sorted(x) for g, x in out.items()}
-
-
-def smith_waterman(a: np.ndarray, b: np.ndarray) -> int:
-    """Best local alignment score of two token sequences, linear gaps, one vectorised row a token of a."""
-    if not len(a) or not len(b):
-        return 0
-    slope = np.arange(1, len(b) + 1) * -GAP
-    h, best = np.zeros(len(b) + 1, dtype=np.int64), 0
-    for x in a:
-        t = np.maximum(h[:-1] + np.where(b == x, MATCH, MISMATCH), h[1:] + GAP)
-        np.maximum(t, 0, out=t)
-        h = np.r_[0, np.maximum.accumulate(t + slope) - slope]
-        best = max(best, int(h.max()))
-    return best
+class Numbers(dict):
+    """64-bit numbers of words, remembered for the most recent ones."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        n = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        return n
 
-def equal_run(doc: np.ndarray, item: np.ndarray, word: np.ndarray, p: int, q: int) -> int:
-    """Whole words of the item in the longest run of equal tokens through doc[p], item[q]."""
-    n = min(len(doc) - p, len(item) - q)
-    ne = np.flatnonzero(doc[p : p + n] != item[q : q + n])
-    right = q + (int(ne[0]) if len(ne) else n)
-    m = min(p, q)
-    ne = np.flatnonzero(doc[p - m : p][::-1] != item[q - m : q][::-1])
-    left = q - (int(ne[0]) if len(ne) else m)
-    if right <= left:
-        return 0
-    first = word[left] + (left > 0 and word[left - 1] == word[left])
-    last = word[right - 1] - (right < len(word) and word[right] == word[right - 1])
-    return int(max(0, last - first + 1))
+
+NUMBERS = Numbers()
+
+
+def numbers(ws: list[str]) -> np.ndarray:
+    return np.fromiter(map(NUMBERS.__getitem__, ws), dtype=np.int64, count=len(ws))
+
+
+def grams(tok: np.ndarray) -> np.ndarray:
+    """A 64-bit number of each run of N tokens."""
+    n = max(0, len(tok) - N + 1)
+    h = np.zeros(n, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(N):
+            h = (h ^ tok[j : j + n].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+def _row_id(counter: int) -> int:
+    return (TaskContext.get().partitionId() << 33) | counter
+
+
+def _items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Tokens of each item, the number of the item's white-space word each belongs to, and its n-grams."""
+    at = 0
+    for b in batches:
+        rows = []
+        for item, text in zip(b["item"], b["text"]):
+            split = [t for w in plain(text or "").split() if (t := WORD.findall(w))]
+            tok = numbers([t for w in split for t in w])
+            word = np.array([i for i, w in enumerate(split) for _ in w], dtype=np.int32)
+            rows.append((_row_id(at), item, len(tok), tok.tobytes(), word.tobytes(), grams(tok)))
+            at += 1
+        yield pd.DataFrame(rows, columns=["iid", "item", "length", "tok", "word", "grams"])
+
+
+def bitmap(gram: DataFrame) -> np.ndarray:
+    """Two bits an n-gram of the column ``gram``, out of a number of bits bounded by BITS."""
+    n = gram.count()
+    size = BITS[0]
+    while size < min(BITS[1], 64 * n):
+        size *= 2
+    at = F.explode(F.array(F.col("gram").bitwiseAND(F.lit(size - 1).cast("long")), F.shiftrightunsigned("gram", 32).bitwiseAND(F.lit(size - 1).cast("long"))))
+    bit = gram.select(at.alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
+    out = np.zeros(size // 64, dtype=np.uint64)
+    rows = bit.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most size / 64 rows
+    out[rows["w"].to_numpy(dtype=np.int64)] = rows["b"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out
+
+
+def maybe(bits: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Places of n-grams that may be in the bitmap."""
+    g, mask = gram.view(np.uint64), np.uint64(len(bits) * 64 - 1)
+    out = np.arange(len(g))
+    for shift in (0, 32):
+        p = (g[out] >> np.uint64(shift)) & mask
+        out = out[(bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1]
+    return out
 
 
-def _passages(items: Items, longest_text: int):
-    """Stretches of a document around item n-grams: grams, their places, and the tokens as item numbers."""
+def _stretches(shared, pad: int, longest_text: int):
+    """Stretches of a document around possible item n-grams: the n-grams, their places, and the tokens."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get, grams, pad = items.vocab.get, items.grams, items.longest
+        bits, at = shared.value, 0
         for b in batches:
             rows = []
             for doc, text in zip(b["doc"], b["text"]):
-                tok = np.array([get(w, -1) for w in words(text)], dtype=np.int32)
-                if len(tok) < N:
-                    continue
-                known = np.lib.stride_tricks.sliding_window_view(tok >= 0, N).all(axis=1)
-                hits = [(int(i), g) for i in np.flatnonzero(known) if (g := grams.get(tuple(tok[i : i + N].tolist()))) is not None]
-                while hits:
-                    start = max(0, hits[0][0] - pad)
-                    n = 1
-                    while n < len(hits) and hits[n][0] <= hits[n - 1][0] + N + 2 * pad and hits[n][0] - start < longest_text:
-                        n += 1
+                tok = numbers(words(text))
+                g = grams(tok)
+                hits = maybe(bits, g)
+                # cut where hits are too far apart for one item, or a stretch gets too long
+                while len(hits):
+                    start = max(0, int(hits[0]) - pad)
+                    ends = np.flatnonzero((np.diff(hits) > N + 2 * pad) | (hits[1:] - start >= longest_text))
+                    n = int(ends[0]) + 1 if len(ends) else len(hits)
                     part, hits = hits[:n], hits[n:]
-                    stop = min(len(tok), part[-1][0] + N + pad)
-                    rows.append((doc, [g for _, g in part], [i - start for i, _ in part], tok[start:stop].tobytes()))
-            yield pd.DataFrame(rows, columns=["doc", "grams", "places", "tokens"])
+                    stop = min(len(tok), int(part[-1]) + N + pad)
+                    rows.append((_row_id(at), doc, g[part], (part - start).astype(np.int32), tok[start:stop].tobytes()))
+                    at += 1
+            yield pd.DataFrame(rows, columns=["sid", "doc", "grams", "places", "tokens"])
 
     return run
 
 
-def _align(items: Items, seeds: dict[int, list[tuple[int, int]]]):
+def _seeds(least: int, rare: float):
+    """Of each window of ``least`` words the rarest n-gram, and all n-grams found no more than ``rare`` times."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for iid, word, found in b[["iid", "word", "found"]].itertuples(index=False, name=None):
+                word = np.frombuffer(word, dtype=np.int32)
+                found = sorted((r["pos"], r["gram"], r["n"]) for r in found)
+                n = [x[2] for x in found]
+                keep = {i for i, x in enumerate(n) if x <= rare}
+                for w in range(int(word[-1]) - least + 2 if len(word) else 0):
+                    a, z = np.searchsorted(word, w), np.searchsorted(word, w + least)
+                    if z - a >= N:
+                        keep.add(min(range(a, z - N + 1), key=lambda i: (n[i], found[i][1], i)))
+                rows += [(iid, found[i][1], found[i][0]) for i in sorted(keep)]
+            yield pd.DataFrame(rows, columns=["iid", "gram", "pos"])
+
+    return run
+
+
+def smith_waterman(a: np.ndarray, windows: list[np.ndarray], cells: int = 1 << 19) -> np.ndarray:
+    """Best local alignment score of a with each window, linear gaps; one vectorised step a token of a for as
+    many windows as ``cells`` allows. What fills shorter windows up matches nothing."""
+    best = np.zeros(len(windows), dtype=np.int64)
+    filler = np.int64(0)
+    while (a == filler).any():
+        filler += 1
+    order = np.argsort([len(w) for w in windows], kind="stable")
+    at = 0
+    while at < len(order) and len(a):
+        n = 1
+        while at + n < len(order) and (n + 1) * (len(windows[order[at + n]]) + 1) <= cells:
+            n += 1
+        mine, at = order[at : at + n], at + n
+        width = len(windows[mine[-1]])
+        if not width:
+            continue
+        text = np.full((n, width), filler, dtype=np.int64)
+        for i, k in enumerate(mine):
+            text[i, : len(windows[k])] = windows[k]
+        slope = (np.arange(1, width + 1) * -GAP).astype(np.int32)
+        h, top = np.zeros((n, width + 1), dtype=np.int32), np.zeros(n, dtype=np.int32)
+        for x in a:
+            t = np.where(text == x, np.int32(MATCH), np.int32(MISMATCH))
+            t += h[:, :-1]
+            np.maximum(t, h[:, 1:] + np.int32(GAP), out=t)
+            np.maximum(t, 0, out=t)
+            t += slope
+            np.maximum.accumulate(t, axis=1, out=t)
+            t -= slope
+            h[:, 1:] = t
+            np.maximum(top, t.max(axis=1), out=top)
+        best[mine] = top
+    return best
+
+
+def equal_run(doc: np.ndarray, item: np.ndarray, word: np.ndarray, shift: int) -> int:
+    """Whole words of the item in the longest run of equal tokens, item[q] beside doc[q + shift]."""
+    a, z = max(0, -shift), min(len(item), len(doc) - shift)
+    if z <= a:
+        return 0
+    same = np.r_[False, item[a:z] == doc[a + shift : z + shift], False]
+    edge = np.flatnonzero(same[1:] != same[:-1])
+    left, right = a + edge[::2], a + edge[1::2]
+    if not len(left):
+        return 0
+    first = word[left] + ((left > 0) & (word[np.maximum(left - 1, 0)] == word[left]))
+    last = word[right - 1] - ((right < len(word)) & (word[np.minimum(right, len(word) - 1)] == word[right - 1]))
+    return int(max(0, (last - first + 1).max()))
+
+
+def _align(least: int, share: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, grams, places, tokens in b[["doc", "grams", "places", "tokens"]].itertuples(index=False):
-                tok = np.frombuffer(tokens, dtype=np.int32)
-                near: dict[int, list[tuple[int, int]]] = {}
-                for g, p in zip(grams, places):
-                    for k, q in seeds.get(int(g), ()):
-                        near.setdefault(k, []).append((int(p), q))
-                for k, anchors in near.items():
-                    item, word = items.tokens[k], items.word_of[k]
-                    run_ = max(equal_run(tok, item, word, p, q) for p, q in anchors)
-                    score, groups = 0, [[anchors[0]]]
-                    for x in anchors[1:]:
-                        if x[0] - groups[-1][-1][0] > 2 * len(item):
-                            groups.append([])
-                        groups[-1].append(x)
-                    for g in groups:
-                        a = max(0, g[0][0] - len(item))
-                        score = max(score, smith_waterman(item, tok[a : g[-1][0] + N + len(item)]))
-                    rows.append((doc, items.ids[k], run_, score, score / (MATCH * len(item))))
+            for _, g in b.groupby("iid", sort=False):
+                item, word = np.frombuffer(g["tok"].iloc[0], dtype=np.int64), np.frombuffer(g["word"].iloc[0], dtype=np.int32)
+                windows, of, texts = [], [], [np.frombuffer(t, dtype=np.int64) for t in g["tokens"]]
+                anchors = [np.asarray(x, dtype=np.int64) for x in g["anchors"]]
+                for i, x in enumerate(anchors):
+                    places = np.unique(x >> 32)
+                    for p in np.split(places, np.flatnonzero(np.diff(places) > 2 * len(item)) + 1):  # anchors farther apart belong to different copies
+                        windows.append(texts[i][max(0, int(p[0]) - len(item)) : int(p[-1]) + N + len(item)])
+                        of.append(i)
+                scores = np.zeros(len(texts), dtype=np.int64)
+                np.maximum.at(scores, of, smith_waterman(item, windows))
+                # equal words score a match each at least; what scores less than ``least`` of them holds no such run
+                for i in np.flatnonzero(scores >= MATCH * min(least, share * len(item))):
+                    shifts = np.unique((anchors[i] >> 32) - (anchors[i] & 0xFFFFFFFF))
+                    run_ = max(equal_run(texts[i], item, word, int(d)) for d in shifts)
+                    part = float(scores[i]) / (MATCH * len(item))
+                    if run_ >= least or part >= share:
+                        rows.append((g["doc"].iloc[i], g["item"].iloc[i], run_, int(scores[i]), part))
             yield pd.DataFrame(rows, columns=["doc", "item", "words", "score", "share"])
 
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", least: int = LEAST, block: int = 2_000, longest_text: int = 20_000) -> DataFrame:
-    """(doc_id, item_id, words, score, share): documents with a rare seed of an item in common.
+def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", least: int = LEAST, share: float = 0.5, rare: float = 0.001, rare_least: int = 20, longest_text: int = 20_000) -> DataFrame:
+    """(doc_id, item_id, words, score, share): documents with a passage of an item, exact or edited.
 
     words: the longest run of consecutive words of the item; score: of the local alignment; share: of
-    the score of a whole copy. The items are taken in blocks of about ``block``, the only data that
-    reaches the driver and is broadcast. Documents are read whole; a document is looked through in
-    stretches of at most longest_text tokens around matches, overlapping by more than an item.
+    the score of a whole copy. A pair comes out with ``least`` equal words in a row or this ``share`` of
+    the score. rare, rare_least: n-grams in no more than this share of the corpus, or so many
+    documents, are all seeds, others only where a window has no rarer one. Documents are read whole and once; a document is looked through in stretches
+    of at most longest_text tokens around matches, overlapping by more than an item. Words are compared
+    by 64-bit numbers.
 
-    Null, empty and blank texts have no passages, items of fewer than ``least`` words no seeds; rows
-    with a null id are left out, rows of one id count as one document; other columns are ignored.
+    Null, empty and blank texts have no passages, items of fewer than ``least`` words no seeds of
+    windows; rows with a null id are left out, rows of one id count as one document or item; other
+    columns are ignored; empty tables give no rows.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
     items = items.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("text")).where("item is not null")
-    blocks = max(1, -(-items.count() // block))
-    out = None
-    for i in range(blocks):
-        some = Items()
-        for r in sorted(items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == i).collect(), key=lambda r: (r["item"], r["text"] or "")):
-            some.add(r["item"], r["text"])
-        found = materialize(docs.mapInPandas(_passages(some, longest_text), "doc long, grams array<int>, places array<int>, tokens binary"))
-        counts = found.select("doc", F.explode("grams").alias("gram")).distinct().groupBy("gram").agg(F.count("*").alias("n"))
-        seeds = some.seeds({r["gram"]: r["n"] for r in counts.collect()}, least)  # one row a gram of the block
-        got = found.mapInPandas(_align(some, seeds), "doc long, item long, words int, score int, share double")
-        got = got.groupBy("doc", "item").agg(*[F.max(c).alias(c) for c in ("words", "score", "share")])
-        out = got if out is None else out.unionByName(got)
-    return out.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "words", "score", "share")
+    items = materialize(items.mapInPandas(_items, "iid long, item long, length int, tok binary, word binary, grams array<long>")).where(F.size("grams") > 0)
+    of_items = items.select("iid", F.posexplode("grams").alias("pos", "gram"))
+    pad = items.agg(F.max("length")).first()[0] or 0
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(of_items.select("gram")))
+    found = materialize(docs.mapInPandas(_stretches(shared, pad, longest_text), "sid long, doc long, grams array<long>, places array<int>, tokens binary"))
+    total = docs.count()
+    counts = found.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    per = of_items.join(counts, "gram", "left").groupBy("iid").agg(F.collect_list(F.struct("pos", "gram", F.coalesce("n", F.lit(0)).alias("n"))).alias("found"))
+    seeds = items.select("iid", "word").join(per, "iid").mapInPandas(_seeds(least, max(rare_least, rare * total)), "iid long, gram long, pos int")
+    seeds = broadcast_if_small(materialize(seeds))
+    hits = found.select("sid", F.explode(F.arrays_zip("grams", "places")).alias("h")).select("sid", F.col("h.grams").alias("gram"), F.col("h.places").alias("place"))
+    near = hits.join(seeds, "gram").groupBy("sid", "iid").agg(F.collect_list(F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))).alias("anchors"))
+    pairs = near.join(found.select("sid", "doc", "tokens"), "sid").join(items.select("iid", "item", "tok", "word"), "iid")
+    # few bytes but much work: as many tasks as the session shuffles into, an item of many pairs in several
+    pairs = pairs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "iid", F.pmod("sid", F.lit(64)))
+    got = pairs.mapInPandas(_align(least, share), "doc long, item long, words int, score int, share double")
+    got = got.groupBy("doc", "item").agg(*[F.max(c).alias(c) for c in ("words", "score", "share")])
+    return got.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "words", "score", "share")
