@@ -19,6 +19,25 @@ SELECT class_key, cluster_id FROM wish
 WHERE n < coalesce(target_share * CAST(0.2 AS DOUBLE) * (SELECT sum(n) FROM wish), 0) OR n < min_rows
 """
 
+P1_QUOTAS = f"""
+WITH {_LATEST},
+valid AS (
+  SELECT regexp_replace(lower(trim(class_key)), '[\\s-]+', '_', 'g') AS class_key, cluster_id FROM latest),
+have AS (SELECT class_key, cluster_id, count(*) AS n FROM valid GROUP BY ALL),
+cats AS (
+  SELECT t.class_key, t.cluster_id, max(coalesce(t.target_share, 0)) AS share, max(coalesce(t.min_rows, 0)) AS least, max(coalesce(h.n, 0)) AS n
+  FROM sample_targets t LEFT JOIN have h ON h.class_key = t.class_key AND h.cluster_id = t.cluster_id GROUP BY ALL),
+size AS (SELECT CAST(0.2 AS DOUBLE) * sum(n) AS size FROM cats),
+want AS (SELECT class_key, cluster_id, n, least, share * size AS s, size FROM cats, size),
+points AS (SELECT 0.0::DOUBLE AS x UNION SELECT least / s FROM want WHERE s > 0 UNION SELECT n / s FROM want WHERE s > 0),
+filled AS (SELECT x, sum(least(n, greatest(least, x * s))) AS y, any_value(size) AS size FROM points, want GROUP BY x),
+low AS (SELECT max(x) AS x, max(y) AS y FROM filled WHERE y <= size),
+high AS (SELECT min(x) AS x, min(y) AS y FROM filled WHERE y > size),
+level AS (SELECT coalesce(low.x + (size - low.y) / (high.y - low.y) * (high.x - low.x), low.x, 0) AS level FROM low, high, size)
+SELECT class_key, cluster_id, CAST(n AS BIGINT) AS available, round(greatest(s, least), 6) AS wanted, round(least(n, greatest(least, level * s)), 6) AS allotted
+FROM want, level
+"""
+
 _P3 = f"""
 WITH {_LATEST},
 valid AS (
@@ -65,4 +84,4 @@ SELECT image_kind, image_id, metric, n, p, xs[greatest(1, CAST(ceil(p * n) AS BI
 FROM lists CROSS JOIN (SELECT CAST(unnest([0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]) AS DOUBLE) AS p)
 """
 
-ORACLE: dict[str, str] = {"p2_images": P2_IMAGES, "p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_kept": P3_KEPT, "p4_found": P4_FOUND, "p4_top": P4_TOP}
+ORACLE: dict[str, str] = {"p1_quotas": P1_QUOTAS, "p2_images": P2_IMAGES, "p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_kept": P3_KEPT, "p4_found": P4_FOUND, "p4_top": P4_TOP}

@@ -34,6 +34,11 @@ def p1_margins(spark: SparkSession, d: str) -> DataFrame:
     return _p1(spark, d).margins
 
 
+def p1_quotas(spark: SparkSession, d: str) -> DataFrame:
+    r = _p1(spark, d).quotas
+    return r.select("class_key", "cluster_id", "available", F.round("wanted", 6).alias("wanted"), F.round("allotted", 6).alias("allotted"))
+
+
 def p1_sample(spark: SparkSession, d: str) -> DataFrame:
     return _p1(spark, d).decided.where("selected").select(F.col("id").alias("row_id"), "class_key", "cluster_id")
 
@@ -237,6 +242,7 @@ QUERIES: dict[str, Query] = {
     "p1_report": p1_report,
     "p1_margins": p1_margins,
     "p1_sample": p1_sample,
+    "p1_quotas": p1_quotas,
     "p2_percentiles": p2_percentiles,
     "p2_daily": p2_daily,
     "p2_images": p2_images,

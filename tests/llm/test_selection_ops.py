@@ -70,6 +70,37 @@ def test_sample_follows_targets_and_reports_shortfalls(spark):
     assert chosen.count() == sum(r["selected"] for r in rep.values()) == chosen.select("id").distinct().count()
 
 
+def test_what_small_categories_leave_goes_to_the_others(spark):
+    rows = [(i, "abc"[min(i % 10, 2)], 0, "") for i in range(5000)]
+    s = sample_case(spark, rows, [("a", 0, 0.7, 0), ("b", 0, 0.1, 0), ("c", 0, 0.2, 0)])
+    rep = {r["class_key"]: r for r in s.report.collect()}
+    assert rep["a"]["selected"] == 500 == rep["a"]["available"] and rep["a"]["unmet_share"]
+    assert sum(r["selected"] for r in rep.values()) == 1000
+    assert abs(rep["c"]["selected"] / rep["b"]["selected"] - 2) < 0.02
+    assert rep["c"]["sample_share"] == rep["c"]["selected"] / 1000 and abs(rep["c"]["share_gap"] - (rep["c"]["sample_share"] - 0.2)) < 1e-9
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 50), st.integers(0, 9), st.sampled_from([0.0, 0.1, 0.3, 0.7])), min_size=1, max_size=8), st.floats(0, 120))
+def test_water_level(rows, size):
+    n, least, share = (np.array(x, dtype=float) for x in zip(*rows))
+    filled = lambda x: np.minimum(n, np.maximum(least, x * share)).sum()
+    level = S.water_level(n, least, share, size)
+    assert level >= 0 and (abs(filled(level) - size) < 1e-6 or filled(level) <= size and filled(1e12) <= size + 1e-6 or level == 0 and filled(0) > size)
+
+
+def test_one_table_gives_one_sample_however_laid_out(spark):
+    rows = [(i * 7919 % 100_003, "ab"[i % 2], i % 3, "") for i in range(6000)]
+    targets = [(k, c, 0.16, 1) for k in "ab" for c in range(3)]
+    s = "row_id long, class_key string, cluster_id int, x string"
+    t = spark.createDataFrame(targets, "class_key string, cluster_id int, target_share double, min_rows int")
+    got = []
+    for df in (spark.createDataFrame(rows, s).repartition(7), spark.createDataFrame(rows[::-1], s).coalesce(1)):
+        x = S.balanced_sample(df, t, ["class_key", "cluster_id"], "row_id", piece_rows=500, fan_in=3)
+        got.append(sorted(r["id"] for r in x.decided.where("selected").collect()))
+    assert got[0] == got[1] and abs(len(got[0]) - 0.96 * 1200) <= 240
+
+
 def test_sample_of_nothing(spark):
     s = sample_case(spark, [], [("a", 0, 0.5, 0), ("b", 0, None, 2)])
     assert s.decided.count() == 0
