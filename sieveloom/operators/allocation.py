@@ -9,6 +9,8 @@ seats are those of all candidates.
 
 from __future__ import annotations
 
+import heapq
+import itertools
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
@@ -82,15 +84,16 @@ def walk(rows: list, total: int):
 class Ledger:
     """What has been selected so far, against the caps."""
 
-    def __init__(self, top_k: int, pair_cap: int | None, source_cap: int | None) -> None:
-        self.top_k, self.pair_cap, self.source_cap = top_k, pair_cap, source_cap
+    def __init__(self, top_k: int, pair_cap: int | None, source_cap: int | None, n_pairs: int) -> None:
+        self.top_k, self.pair_cap, self.source_cap, self.n_pairs = top_k, pair_cap, source_cap, n_pairs
         self.rows: list[tuple] = []
         self.taken: set[int] = set()
         self.pairs: Counter = Counter()
         self.sources: Counter = Counter()
 
     def full(self) -> bool:
-        return len(self.rows) >= self.top_k
+        """No seat is left, or no pair has room."""
+        return len(self.rows) >= self.top_k or bool(self.pair_cap) and len(self.rows) >= self.n_pairs * self.pair_cap
 
     def take(self, r, again: bool = False, source_cap: int | None = None, mark: int = 0) -> bool:
         cap = source_cap or self.source_cap
@@ -104,20 +107,38 @@ class Ledger:
         self.sources[r.source] += 1
         return True
 
-    def fill(self, rows: list, total: int, room=None) -> None:
+    def in_order(self, rows: Rows, plan: Plan):
+        """All rows by score; under a cap on pairs the lists of the pairs with room merged, which end later."""
+        if not self.pair_cap or not rows.of_pair:
+            yield from walk(rows.ranked, plan.contenders[()])
+            return
+        lists = {k: walk(g, plan.contenders[k]) for k, g in rows.of_pair.items()}
+        heap = [(-g[0].score, g[0].row_id, k) for k, g in rows.of_pair.items() if self.pairs[k[1]] < self.pair_cap]
+        heapq.heapify(heap)
+        for _, _, k in iter(lambda: heapq.heappop(heap) if heap else None, None):
+            if self.pairs[k[1]] >= self.pair_cap:
+                continue
+            # what was only looked at is the list's next row
+            r = next(lists[k])
+            yield r
+            if self.pairs[k[1]] < self.pair_cap and not self.full() and (n := next(lists[k], None)) is not None:
+                lists[k] = itertools.chain([n], lists[k])
+                heapq.heappush(heap, (-n.score, n.row_id, k))
+
+    def fill(self, rows: Rows, plan: Plan, room=None) -> None:
         """The best rows of all, as long as seats are empty."""
         if not self.full() and (room is None or room() > 0):
-            for r in walk(rows, total):
+            for r in self.in_order(rows, plan):
                 self.take(r)
                 if self.full() or room is not None and room() <= 0:
                     return
 
-    def relax(self, rows: list, total: int) -> None:
+    def relax(self, rows: Rows, plan: Plan) -> None:
         """While seats are empty, let sources repeat once more a round; a row may then come twice."""
         cap = self.source_cap
         while cap and not self.full():
             cap, before = cap + 1, len(self.rows)
-            for r in walk(rows, total):
+            for r in self.in_order(rows, plan):
                 self.take(r, again=True, source_cap=cap, mark=cap)
                 if self.full():
                     return
@@ -223,9 +244,12 @@ def pair_aware(rows: Rows, led: Ledger, plan: Plan, cls: str | None, seats: int,
             if got >= quota[p] or room() <= 0 or cap and led.pairs[p] >= cap:
                 break
     if cls is None:
-        led.fill(rows.ranked, plan.contenders[()], room)
-    else:
-        led.fill(rows.of_class[cls], plan.contenders[(cls,)], room)
+        led.fill(rows, plan, room)
+    elif room() > 0:
+        for r in walk(rows.of_class[cls], plan.contenders[(cls,)]):
+            led.take(r)
+            if room() <= 0:
+                break
 
 
 def stratified(rows: Rows, led: Ledger, plan: Plan) -> None:
@@ -245,14 +269,15 @@ def stratified(rows: Rows, led: Ledger, plan: Plan) -> None:
                 led.sources[row[4].source] -= 1
         have = Counter(x[1] for x in led.rows)
         short = [c for c in plan.classes if have[c] < min(floor, quota[c])]
-        # in the order of all rows: the classes' lists merged
-        lists = {c: iter(walk(rows.of_class[c], plan.contenders[(c,)])) for c in short}
-        ahead = {c: next(lists[c], None) for c in short}
-        while live := [c for c in short if ahead[c] is not None and have[c] < min(floor, quota[c])]:
-            c = min(live, key=lambda c: (-ahead[c].score, ahead[c].row_id))
-            have[c] += led.take(ahead[c])
-            ahead[c] = next(lists[c], None)
-    led.fill(rows.ranked, plan.contenders[()])
+        # in the order of all rows: the lists of the pairs with room merged
+        wants = lambda k: have[k[0]] < min(floor, quota[k[0]]) and led.pairs[k[1]] < cap
+        lists = {(c, p): iter(walk(rows.of_pair[(c, p)], plan.contenders[(c, p)])) for c in short for p in plan.pairs[c]}
+        ahead = {k: next(lists[k], None) for k in lists if wants(k)}
+        while live := [k for k, r in ahead.items() if r is not None and wants(k)]:
+            k = min(live, key=lambda k: (-ahead[k].score, ahead[k].row_id))
+            have[k[0]] += led.take(ahead[k])
+            ahead[k] = next(lists[k], None) if wants(k) else None
+    led.fill(rows, plan)
 
 
 def stratified_floor(rows: Rows, led: Ledger, plan: Plan) -> None:
@@ -265,7 +290,7 @@ def stratified_floor(rows: Rows, led: Ledger, plan: Plan) -> None:
         have[c] += led.take(ahead[c])
         if have[c] < floor:
             ahead[c] = next(lists[c], None)
-    led.fill(rows.ranked, plan.contenders[()])
+    led.fill(rows, plan)
 
 
 STRATEGIES = {"pair_aware": lambda rows, led, plan: pair_aware(rows, led, plan, None, led.top_k, led.pair_cap), "stratified": stratified, "stratified_floor": stratified_floor}
@@ -340,10 +365,10 @@ def allocate(df: DataFrame, top_k: int, strategy: str = "pair_aware", pair_cap:
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         b = b.astype({c: object for c in ("rank_all", "rank_pair", "rank_class")}).where(b.notna(), None)
-        rows, led = Rows(list(b.itertuples(index=False))), Ledger(plan.top_k, pair_cap, source_cap)
+        rows, led = Rows(list(b.itertuples(index=False))), Ledger(plan.top_k, pair_cap, source_cap, len(plan.pairs[None]))
         try:
             STRATEGIES[strategy](rows, led, plan)
-            led.relax(rows.ranked, plan.contenders[()])
+            led.relax(rows, plan)
         except Short:
             return pd.DataFrame([(None, None, None, -1)], columns=["row_id", "cls", "pair", "seats_round"])
         return pd.DataFrame([x[:4] for x in led.rows], columns=["row_id", "cls", "pair", "seats_round"])

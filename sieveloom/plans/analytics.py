@@ -269,7 +269,19 @@ def _(s, d):
     return L.allocate(sources(s, d), 1500, "pair_aware", pair_cap=3)
 
 
-@op("alc_pair_small")
+CTE["rival"] = "SELECT row_id, coalesce(class_key, '_') AS cls, concat_ws('_', coalesce(CAST(cluster_id AS VARCHAR), '-'), cell_key) AS pair, coalesce(image_path, image_id) || '|' || coalesce(array_to_string(defect_bbox, ','), '') AS source, round(roi_score, 9) AS score, deficit FROM cand"
+
+
+@op("alc_pair_small", "cand rival", """SELECT row_id, cls, pair, CAST(0 AS INT) AS seats_round FROM rival WHERE row_id IN (SELECT unnest(taken) FROM (
+  WITH RECURSIVE need AS (SELECT pair, row_number() OVER (ORDER BY round(avg(deficit), 9) DESC, count(*) DESC, min(row_id)) AS no FROM rival GROUP BY pair),
+  best AS (SELECT no, row_id, source, row_number() OVER (PARTITION BY no ORDER BY score DESC, row_id) AS r FROM rival JOIN need USING (pair)),
+  lists AS (SELECT no, list({'r': r, 'row_id': row_id, 'source': source} ORDER BY r) AS rows FROM best WHERE r <= 101 GROUP BY no),
+  walk AS (
+    SELECT CAST(0 AS BIGINT) AS no, CAST([] AS BIGINT[]) AS taken, CAST([] AS VARCHAR[]) AS used
+    UNION ALL
+    SELECT l.no, CASE WHEN hit IS NULL THEN taken ELSE list_append(taken, hit.row_id) END, CASE WHEN hit IS NULL THEN used ELSE list_append(used, hit.source) END
+    FROM (SELECT w.taken, w.used, l.no, list_filter(l.rows, lambda x: NOT list_contains(w.used, x.source))[1] AS hit FROM walk w JOIN lists l ON l.no = w.no + 1 WHERE len(w.taken) < 100) l)
+  SELECT taken FROM walk ORDER BY no DESC LIMIT 1))""")
 def _(s, d):
     return L.allocate(sources(s, d), 100, "pair_aware")
 
@@ -279,7 +291,10 @@ def _(s, d):
     return L.allocate(sources(s, d), 400, "stratified", pair_cap=4)
 
 
-@op("alc_stratified_compat")
+@op("alc_stratified_compat", "cand", """SELECT row_id, cls, pair, CAST(0 AS INT) AS seats_round FROM (
+  SELECT *, row_number() OVER (ORDER BY r > seats, score DESC, row_id) AS no FROM (
+    SELECT *, row_number() OVER (PARTITION BY cls ORDER BY score DESC, row_id) AS r, (SELECT 400 // count(DISTINCT coalesce(class_key, '_')) FROM cand) AS seats FROM (
+      SELECT row_id, coalesce(class_key, '_') AS cls, concat_ws('_', coalesce(CAST(cluster_id AS VARCHAR), '-'), cell_key) AS pair, COMPAT AS score FROM cand))) WHERE no <= 400""".replace("COMPAT", "round(0.6::DOUBLE * ctx_prior + 0.4::DOUBLE * morph_prior, 9)"))
 def _(s, d):
     c = cand(s, d).select("row_id", F.round(S.compat_score(F.col("ctx_prior"), F.col("morph_prior")), 9).alias("score"))
     return L.allocate(sources(s, d).drop("score").join(c, "row_id"), 400, "stratified_floor", source_cap=None)
