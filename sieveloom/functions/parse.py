@@ -28,8 +28,8 @@ def number(c: Column | str) -> Column:
     """A text cell as a finite double; empty, unreadable and non-finite cells are null."""
     s = strip(c)
     v = s.try_cast("double")
-    suffixed = F.lower(F.right(s, F.lit(1))).isin("d", "f")  # Java's type suffixes are no part of a number
-    return F.when((F.abs(v) < F.lit(float("inf"))) & ~suffixed, v)
+    plain = F.translate(s, "0123456789.+-eE", "") == ""  # neither Java's type suffixes nor hexadecimal digits
+    return F.when((F.abs(v) < F.lit(float("inf"))) & plain, v)
 
 
 def lenient_float(c: Column | str) -> Column:

@@ -76,3 +76,9 @@ def test_names(spark):
     assert one(spark, P.canonical_id("a"), a=" Crack-Shot_1.PNG\t") == "crack_shot_1"
     assert one(spark, P.canonical_class("a"), a="Edge chip ") == "edge_chip"
     assert one(spark, P.canonical_class("a"), a="_") is None
+
+
+def test_numbers_have_no_letters(spark):
+    cells = ["0x1p3", "1d", "2f", "1e3", "-.5", "+7.", " 3 ", "1_0", "NaN", "inf", "Infinity", "1e999", "", None, "--1", "1e", "\u0661"]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    assert [r[0] for r in df.select(P.number("c")).collect()] == [None, None, None, 1000.0, -0.5, 7.0, 3.0] + [None] * 10
