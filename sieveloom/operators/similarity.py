@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveloom.operators.selection import top_per_group
+from sieveloom.runtime import materialize
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -50,7 +51,15 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 1, metric: str = "cosine
         if x.empty or y.empty:
             return pd.DataFrame([], columns=cols)
         d = dist(np.stack(x["vec"].to_numpy()).astype(float), np.stack(y["rvec"].to_numpy()).astype(float))
-        order = np.lexsort((np.broadcast_to(y["rid"].to_numpy(), d.shape), np.round(d, 12)), axis=1)[:, :k]
+        r = np.round(d, 12)
+        if 4 * k < d.shape[1]:  # all within the k-th distance, ties included, are ordered; the others can't be among the k
+            near = np.partition(r, k - 1, axis=1)[:, k - 1 : k]
+            most = int((r <= near).sum(axis=1).max())
+            pick = np.argpartition(np.where(r <= near, r, np.inf), most - 1, axis=1)[:, :most]
+        else:
+            pick = np.broadcast_to(np.arange(d.shape[1]), d.shape)
+        rank = np.lexsort((y["rid"].to_numpy()[pick], np.take_along_axis(r, pick, axis=1)), axis=1)[:, :k]
+        order = np.take_along_axis(pick, rank, axis=1)
         return pd.DataFrame({"id": np.repeat(x["id"].to_numpy(), order.shape[1]), "neighbour": y["rid"].to_numpy()[order].ravel(), "distance": np.take_along_axis(d, order, axis=1).ravel()})
 
     kind, kind2 = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
@@ -74,6 +83,46 @@ def within(left: DataFrame, right: DataFrame, radius: str = "r", metric: str = "
     return got.groupBy("id").agg(F.sum("hits").alias("hits"))
 
 
+def histogram_fits(left: DataFrame, right: DataFrame, k: int | None = None, zeros: bool = False, block: int = 1024) -> DataFrame:
+    """(id, rid, fit): the sum over common cells of the smaller share, for histograms in rows (id, cell_key, p).
+
+    Histograms are paired in blocks; in a block each cell adds the outer minimum of the shares of the
+    images that have it, so only pairs that are asked for become rows. k: the k best of each left id, fits
+    compared to nine digits, then by rid; zeros: pairs without a common cell come out too, with 0, which k
+    never does. Rows with a null id, cell or share take no part; an empty side gives no rows.
+    """
+    ok = "id is not null and cell_key is not null and p is not null"
+    pack = lambda df: df.where(ok).groupBy("id").agg(F.collect_list("cell_key").alias("cells"), F.collect_list("p").alias("ps"))  # noqa: E731  as many entries as the grid has cells
+    a, b = grid(materialize(pack(left)), materialize(pack(right)), block)
+
+    def table(ids: pd.Series, cells: pd.Series, ps: pd.Series) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        row = np.repeat(np.arange(len(ids)), [len(c) for c in cells])
+        names, code = np.unique(np.concatenate(cells.tolist()).astype(str), return_inverse=True)
+        p, order = np.concatenate(ps.tolist()), np.argsort(code, kind="stable")
+        cut = np.searchsorted(code[order], np.arange(len(names) + 1))
+        return {n: (row[order[i:j]], p[order[i:j]]) for n, i, j in zip(names.tolist(), cut, cut[1:])}
+
+    def run(_, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame([], columns=["id", "rid", "fit"])
+        y = y.sort_values("rid", ignore_index=True)
+        one, two, fit = table(x["id"], x["cells"], x["ps"]), table(y["rid"], y["rcells"], y["rps"]), np.zeros((len(x), len(y)))
+        for c in sorted(set(one) & set(two)):
+            (i, p), (j, q) = one[c], two[c]
+            fit[np.ix_(i, j)] += np.minimum.outer(p, q)
+        if k:
+            best = np.argsort(-np.round(fit, 9), axis=1, kind="stable")[:, :k]
+            i, j = np.repeat(np.arange(len(x)), best.shape[1]), best.ravel()
+            i, j = i[fit[i, j] > 0], j[fit[i, j] > 0]
+        else:
+            i, j = np.nonzero(np.ones_like(fit) if zeros else fit)
+        return pd.DataFrame({"id": x["id"].to_numpy()[i], "rid": y["rid"].to_numpy()[j], "fit": fit[i, j]})
+
+    kind = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
+    got = a.groupBy("part", "block").cogroup(b.groupBy("rpart", "rblock")).applyInPandas(run, f"id {kind[0]}, rid {kind[1]}, fit double")
+    return top_per_group(got, ["id"], [F.round("fit", 9).desc(), F.col("rid")], k) if k else got
+
+
 def mean_vector(df: DataFrame, vec: str = "vec") -> DataFrame:
     """One row, the element-wise mean of an array column, by (position, value) sums."""
     e = df.select(F.posexplode(vec).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"))

@@ -66,10 +66,3 @@ def entropy(df: DataFrame, by: Sequence[str], base: Column | None = None, eps: f
     p = share(df, by)
     log = F.log2(F.col("p") + eps) if base is None else F.ln(F.col("p"))
     return p.agg((-F.sum(F.col("p") * log)).alias("entropy"), F.count("*").alias("k"))
-
-
-def histogram_intersection(a: DataFrame, b: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFrame:
-    """Sum over common cells of the smaller share; pairs without a common cell don't come out (they are 0)."""
-    x = a.select(*left, "cell_key", F.col("p").alias("_p"))
-    y = b.select(*right, "cell_key", F.col("p").alias("_q"))
-    return x.join(y, "cell_key").groupBy(*left, *right).agg(F.sum(F.least("_p", "_q")).alias("fit"))

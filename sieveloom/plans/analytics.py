@@ -11,6 +11,7 @@ from sieveloom.operators import kernels as K
 from sieveloom.operators import profiling as P
 from sieveloom.operators import resampling as R
 from sieveloom.operators import similarity as V
+from sieveloom.operators import tiles as G
 from sieveloom.operators.selection import hashed, top_per_group
 from sieveloom.plans import statistics as T
 from sieveloom.plans.base import CONTEXT, CTE, MORPH, cand, morph, op, patch
@@ -325,17 +326,9 @@ def _grid(df):
   JOIN (SELECT image_id, gx, gy FROM ringed WHERE foot AND NOT void GROUP BY 1, 2, 3 HAVING count(*) = 4) f USING (image_id, gx, gy) LEFT JOIN clean c USING (cell_key) GROUP BY 1, 2, 3)) WHERE r = 1""")
 def _(s, d):
     """The best 2 by 2 site of each background: whole and not void, its ring like the target distribution."""
-    t = materialize(_grid(T.voided(s, d).where("kind = 'good'")).select("image_id", "gx", "gy", "cell_key", "void"))
-    reach = F.array(*[F.lit(i) for i in (-1, 0, 1, 2)])
-    a = t.select("image_id", "gx", "gy").withColumn("ox", F.explode(reach)).withColumn("oy", F.explode(reach)).withColumns({"tx": F.col("gx") + F.col("ox"), "ty": F.col("gy") + F.col("oy")})
-    r = a.join(t.select("image_id", F.col("gx").alias("tx"), F.col("gy").alias("ty"), "cell_key", "void"), ["image_id", "tx", "ty"])
-    foot = F.col("ox").between(0, 1) & F.col("oy").between(0, 1)
-    site = ["image_id", "gx", "gy"]
-    whole = r.where(foot & ~F.col("void")).groupBy(*site).agg(F.count("*").alias("n")).where("n = 4").select(*site)
-    ring = r.where(~foot).groupBy(*site, "cell_key").agg(F.count("*").alias("n"))
-    ring = ring.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*site)))
-    scored = ring.join(whole, site, "left_semi").join(broadcast_if_small(T.clean(s, d).select("cell_key", "p")), "cell_key", "left").groupBy(*site).agg(F.sum(F.least("share", F.coalesce("p", F.lit(0.0)))).alias("score"))
-    return top_per_group(scored, ["image_id"], [F.round("score", 9).desc(), F.col("gy"), F.col("gx")], 1).select(*site, F.round("score", 6).alias("score"))
+    t = _grid(T.voided(s, d).where("kind = 'good'")).select("image_id", "gx", "gy", "cell_key", "void")
+    t = t.join(broadcast_if_small(T.clean(s, d).select("cell_key", "p")), "cell_key", "left")
+    return G.ring_sites(t).select("image_id", "gx", "gy", F.round("score", 6).alias("score"))
 
 
 CTE["coretiles"] = f"SELECT DISTINCT image_id, {_GRID} FROM patch WHERE local_variance > 3000"

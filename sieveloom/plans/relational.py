@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sieveloom.functions import scores as S
 from sieveloom.operators import joins as J
 from sieveloom.operators import selection as X
-from sieveloom.operators import stats as A
+from sieveloom.operators import similarity as V
 from sieveloom.plans import statistics as T
 from sieveloom.plans.base import CONTEXT, CTE, cand, morph, op, patch
 from sieveloom.plans.scalar import boxed
@@ -86,11 +86,10 @@ CTE["dhist"] = "SELECT image_id, cell_key, count(*) / sum(count(*)) OVER (PARTIT
 CTE["fits"] = "SELECT a.image_id AS roi, b.image_id AS bg, sum(least(a.p, b.p)) AS fit FROM dhist a JOIN hist b USING (cell_key) GROUP BY 1, 2"
 
 
-def fits(s, d, v=None):
-    v = v if v is not None else materialize(T.voided(s, d))
-    a = T.image_hist(s, d, "defect", v).withColumnRenamed("image_id", "roi")
-    b = T.image_hist(s, d, "good", v).withColumnRenamed("image_id", "bg")
-    return A.histogram_intersection(a, b, ["roi"], ["bg"])
+def fits(s, d, **how):
+    v = materialize(T.voided(s, d).select("image_id", "cell_key", "void", "kind"))
+    side = lambda kind: T.image_hist(s, d, kind, v).withColumnRenamed("image_id", "id")
+    return V.histogram_fits(side("defect"), side("good"), **how).withColumnsRenamed({"id": "roi", "rid": "bg"})
 
 
 @op("agg_hist_intersect", _VOID + " hist dhist fits", "SELECT roi, bg, round(fit, 6) AS fit FROM fits")
@@ -100,18 +99,14 @@ def _(s, d):
 
 @op("jn_roi_x_background", _VOID + " hist dhist fits", "SELECT roi, bg, round(coalesce(fit, 0), 6) AS fit FROM (SELECT DISTINCT image_id AS roi FROM dhist) CROSS JOIN (SELECT DISTINCT image_id AS bg FROM hist) LEFT JOIN fits USING (roi, bg)")
 def _(s, d):
-    # the dense frame is what the ranking needs: every site against the bounded pool of backgrounds
-    v = materialize(T.voided(s, d))
-    f = fits(s, d, v)
-    some = lambda kind, name: v.where((~F.col("void")) & (F.col("kind") == kind)).select(F.col("image_id").alias(name)).distinct()
-    rois, bgs = some("defect", "roi"), some("good", "bg")
-    return rois.crossJoin(broadcast_if_small(bgs)).join(f, ["roi", "bg"], "left").select("roi", "bg", F.round(F.coalesce("fit", F.lit(0.0)), 6).alias("fit"))
+    """Every site against every background: the frame is the result."""
+    return fits(s, d, zeros=True).select("roi", "bg", F.round("fit", 6).alias("fit"))
 
 
 @op("jn_synth_bg", _VOID + " hist dhist fits", "SELECT roi, bg, rank FROM (SELECT roi, bg, CAST(row_number() OVER (PARTITION BY roi ORDER BY round(fit, 9) DESC, bg) AS INT) AS rank FROM fits) WHERE rank <= 5")
 def _(s, d):
     w = Window.partitionBy("roi").orderBy(F.round("fit", 9).desc(), "bg")
-    return fits(s, d).withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("roi", "bg", "rank")
+    return fits(s, d, k=5).withColumn("rank", F.row_number().over(w)).select("roi", "bg", "rank")
 
 
 CTE["classfit"] = "SELECT roi, bg, fit, fit * fit AS cfit FROM fits"
