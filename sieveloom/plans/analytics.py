@@ -13,6 +13,7 @@ from sieveloom.operators import resampling as R
 from sieveloom.operators import similarity as V
 from sieveloom.operators import tiles as G
 from sieveloom.operators.selection import hashed, top_per_group
+from sieveloom.operators.stats import share
 from sieveloom.plans import statistics as T
 from sieveloom.plans.base import CONTEXT, CTE, MORPH, cand, morph, op, patch
 from sieveloom.runtime import broadcast_if_small, materialize, read
@@ -326,8 +327,9 @@ def _grid(df):
   JOIN (SELECT image_id, gx, gy FROM ringed WHERE foot AND NOT void GROUP BY 1, 2, 3 HAVING count(*) = 4) f USING (image_id, gx, gy) LEFT JOIN clean c USING (cell_key) GROUP BY 1, 2, 3)) WHERE r = 1""")
 def _(s, d):
     """The best 2 by 2 site of each background: whole and not void, its ring like the target distribution."""
-    t = _grid(T.voided(s, d).where("kind = 'good'")).select("image_id", "gx", "gy", "cell_key", "void")
-    t = t.join(broadcast_if_small(T.clean(s, d).select("cell_key", "p")), "cell_key", "left")
+    t = materialize(T.voided(s, d).where("kind = 'good'").select("image_id", "patch_xy", "cell_key", "void"))
+    target = share(t, ["cell_key"]).select("cell_key", "p")
+    t = _grid(t).select("image_id", "gx", "gy", "cell_key", "void").join(broadcast_if_small(target), "cell_key", "left")
     return G.ring_sites(t).select("image_id", "gx", "gy", F.round("score", 6).alias("score"))
 
 
