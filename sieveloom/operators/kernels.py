@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -137,19 +138,37 @@ def otsu(g: np.ndarray) -> int:
 
 
 def labels(mask: np.ndarray) -> tuple[np.ndarray, int]:
-    """Components of set pixels joined by sides or corners, by propagating the smallest number."""
+    """Components of set pixels joined by sides or corners, numbered from 1 on in the order of their first pixel.
+
+    Runs of a row are united with those of the row above they touch, so one pass does for any form."""
     h, w = mask.shape
-    lab = np.where(mask, np.arange(1, h * w + 1).reshape(h, w), 0)
-    while True:
-        p = np.pad(lab, 1)
-        near = np.stack([p[a : a + h, b : b + w] for a in range(3) for b in range(3)])
-        new = np.where(mask, np.where(near == 0, h * w + 1, near).min(axis=0), 0)
-        if (new == lab).all():
-            break
-        lab = new
-    values, lab = np.unique(lab, return_inverse=True)
-    lab = lab.reshape(h, w)
-    return (lab, len(values) - 1) if values[0] == 0 else (lab + 1, len(values))
+    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, start = np.nonzero(edge == 1)
+    end = np.nonzero(edge == -1)[1]  # one behind the last
+    root = list(range(len(row)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    first = np.searchsorted(row, np.arange(h + 1))
+    for y in range(1, h):
+        i, j = int(first[y - 1]), int(first[y])
+        while i < first[y] and j < first[y + 1]:
+            if start[i] <= end[j] and start[j] <= end[i]:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+            if end[i] < end[j]:
+                i += 1
+            else:
+                j += 1
+    lab = np.zeros((h, w), dtype=int)
+    numbers: dict[int, int] = {}
+    for k in range(len(row)):
+        lab[row[k], start[k] : end[k]] = numbers.setdefault(find(k), len(numbers) + 1)
+    return lab, len(numbers)
 
 
 def boxes(mask: np.ndarray, min_area: int = 100) -> list[tuple[int, int, int, int]]:
@@ -295,12 +314,75 @@ def netpbm(data: bytes | None) -> tuple[int, int, list[int]] | None:
     return h, w, np.rint(px.mean(axis=2)).astype(int).ravel().tolist()
 
 
+def png(data: bytes | None) -> tuple[int, int, list[int]] | None:
+    """(height, width, grey values) of a PNG file of 8 bits a channel without interlacing; none for anything else.
+
+    Transparency is left out; colours become the mean of their channels, as for other files."""
+    if not data or data[:8] != b"\x89PNG\r\n\x1a\n":
+        return None
+    at, head, body, palette = 8, None, [], None
+    while at + 8 <= len(data):
+        n, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        chunk = data[at + 8 : at + 8 + n]
+        if len(chunk) < n:
+            return None
+        head = chunk if kind == b"IHDR" else head
+        palette = np.frombuffer(chunk[: n - n % 3], dtype=np.uint8).reshape(-1, 3) if kind == b"PLTE" else palette
+        body += [chunk] if kind == b"IDAT" else []
+        at += n + 12
+    if head is None or len(head) < 13:
+        return None
+    w, h, depth, colour, _, _, laced = (int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big"), *head[8:13])
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour)
+    if depth != 8 or laced or channels is None or not w or not h or colour == 3 and palette is None:
+        return None
+    try:
+        raw = zlib.decompress(b"".join(body))
+    except zlib.error:
+        return None
+    line = w * channels
+    if len(raw) < h * (line + 1):
+        return None
+    rows = np.frombuffer(raw, dtype=np.uint8, count=h * (line + 1)).reshape(h, line + 1)
+    out, above = np.zeros((h, line), dtype=np.uint8), np.zeros(line, dtype=np.uint8)
+    for y in range(h):
+        out[y] = above = _unfiltered(int(rows[y, 0]), rows[y, 1:], above, channels)
+    px = out.reshape(h, w, channels)
+    if colour == 3:
+        if px.max() >= len(palette):
+            return None
+        px = palette[px[:, :, 0]]
+    elif colour in (4, 6):
+        px = px[:, :, :-1]
+    return h, w, np.rint(px.astype(float).mean(axis=2)).astype(int).ravel().tolist()
+
+
+def _unfiltered(kind: int, x: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    """A row of bytes of which each is stored less a guess from its neighbours."""
+    if kind == 0:
+        return x
+    if kind == 2:
+        return x + above
+    if kind == 1:
+        return np.add.accumulate(x.reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1)
+    out, up = x.astype(int).tolist(), above.astype(int).tolist()
+    for i in range(len(out)):
+        left, b, c = (out[i - step], up[i], up[i - step]) if i >= step else (0, up[i], 0)
+        if kind == 3:
+            guess = (left + b) // 2
+        else:
+            pa, pb, pc = abs(b - c), abs(left - c), abs(left + b - 2 * c)
+            guess = left if pa <= pb and pa <= pc else b if pb <= pc else c
+        out[i] = (out[i] + guess) % 256
+    return np.array(out, dtype=np.uint8)
+
+
 def read_images(files: DataFrame) -> DataFrame:
-    """(path, h, w, pixels) of (path, content) rows; files that can't be read have nulls, not errors."""
+    """(path, h, w, pixels) of (path, content) rows: PNG, PGM and PPM; files that can't be read have nulls, not errors."""
 
     def run(batches):
         for b in batches:
-            rows = [(p, *(netpbm(c) or (None, None, None))) for p, c in zip(b["path"], b["content"])]
+            rows = [(p, *(png(c) or netpbm(c) or (None, None, None))) for p, c in zip(b["path"], b["content"])]
             yield pd.DataFrame(rows, columns=["path", "h", "w", "pixels"]).astype({"h": "Int32", "w": "Int32"})
 
     return files.select("path", "content").mapInPandas(run, "path string, h int, w int, pixels array<int>")
@@ -338,17 +420,21 @@ def map_images(df: DataFrame, key: str, kernel: str) -> DataFrame:
         "props": (_PROPS, lambda g: region_props(g > 0)),
         "background": ("background string", lambda g: {"background": background_class(g)}),
         "quality": ("quality double", lambda g: {"quality": background_quality(g)}),
-        "otsu": ("threshold int", lambda g: {"threshold": otsu(g)}),
-        "boxes": ("n_boxes int", lambda g: {"n_boxes": len(boxes(g > otsu(g), 20))}),
+        "otsu": ("threshold int, mask array<int>", lambda g: {"threshold": otsu(g), "mask": (g > otsu(g)).astype(int).ravel()}),
+        "boxes": ("boxes array<array<int>>", lambda g: {"boxes": [list(b) for b in boxes(g > otsu(g), 20)]}),
         "scores": ("artifact double, sharpness double", quality_scores),
         "gram": ("gram double", lambda g: {"gram": gram_similarity(*np.split(g.reshape(g.shape[0], -1, 2), 2))}),
         "mask_box": ("x int, y int, w int, h int", lambda g: mask_box(g > 150)),
         "grid": ("cells array<string>", lambda g: {"cells": cell_classes(g, 8)}),
-        "seed_mask": ("share double", lambda g: {"share": float((g <= otsu(g)).mean())}),
+        "seed_mask": ("mask array<int>", lambda g: {"mask": (g <= otsu(g)).astype(int).ravel()}),
         "roi_meta": ("rois array<array<int>>, background string", lambda g: {"rois": [list(b) for b in boxes(g > otsu(g), 20)], "background": background_class(g)}),
-        "half": ("mean double", lambda g: {"mean": float(resize(g, max(1, min(g.shape) // 2)).mean())}),
+        "half": ("side int, small array<int>", lambda g: (lambda r: {"side": r.shape[0], "small": r.astype(int).ravel()})(resize(g, max(1, min(g.shape) // 2)))),
     }
-    schema, f = plans[kernel]
+    return map_arrays(df, key, *plans[kernel])
+
+
+def map_arrays(df: DataFrame, key: str, schema: str, f: Callable[[np.ndarray], dict | None]) -> DataFrame:
+    """(key, schema): f of the grey image of each row (key, h, w, pixels), null where it has none or is no image."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):

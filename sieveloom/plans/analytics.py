@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sieveloom.functions import scores as S
 from sieveloom.operators import allocation as L
+from sieveloom.operators import drawing as D
 from sieveloom.operators import kernels as K
 from sieveloom.operators import profiling as P
 from sieveloom.operators import resampling as R
@@ -381,7 +382,26 @@ def images(s, d):
     return m.select("morph_id", F.lit(16).alias("h"), F.lit(16).alias("w"), px.alias("pixels"))
 
 
-for _name, _kernel in {"img_context_feats": "context", "img_region_props": "props", "img_background_class": "background", "img_bg_quality": "quality", "img_otsu_mask": "otsu", "img_components": "boxes", "img_resize": "half", "img_quality": "scores", "img_gram": "gram", "img_mask_bbox": "mask_box", "img_grid": "grid", "img_seed_mask": "seed_mask", "img_roi_meta": "roi_meta"}.items():
+_PX = "CAST((i % 16 * (morph_id % 7 + 1) * 9 + i * i * (morph_id % 5)) % 200 + CASE WHEN i % 16 BETWEEN 4 AND 9 AND i // 16 BETWEEN 5 AND 10 THEN 55 ELSE 0 END AS INT)"
+CTE["px"] = f"SELECT morph_id, CAST(i AS INT) AS i, CAST(i % 16 AS INT) AS x, CAST(i // 16 AS INT) AS y, {_PX} AS v FROM (SELECT DISTINCT morph_id FROM morphology_features), (SELECT unnest(range(256)) AS i)"
+# the level with the largest variance between what is up to it and what is above, the lowest of equal ones
+CTE["cut"] = "SELECT morph_id, CAST(g AS INT) AS g FROM (SELECT *, row_number() OVER (PARTITION BY morph_id ORDER BY round(w0 * (256 - w0) * (m0 / w0 - (m - m0) / (256 - w0)) * (m0 / w0 - (m - m0) / (256 - w0)), 4) DESC, g) AS r FROM (SELECT morph_id, v AS g, CAST(sum(n) OVER w AS DOUBLE) AS w0, CAST(sum(n * v) OVER w AS DOUBLE) AS m0, CAST(sum(n * v) OVER (PARTITION BY morph_id) AS DOUBLE) AS m FROM (SELECT morph_id, v, count(*) AS n FROM px GROUP BY 1, 2) WINDOW w AS (PARTITION BY morph_id ORDER BY v)) WHERE w0 < 256) WHERE r = 1"
+_KERNELS = {
+    "img_context_feats": ("context", None),
+    "img_region_props": ("props", None),
+    "img_background_class": ("background", None),
+    "img_bg_quality": ("quality", None),
+    "img_otsu_mask": ("otsu", ("px cut", "SELECT morph_id, any_value(g) AS threshold, list(CAST(v > g AS INT) ORDER BY i) AS mask FROM px JOIN cut USING (morph_id) GROUP BY morph_id")),
+    "img_components": ("boxes", None),
+    "img_resize": ("half", ("px", "SELECT morph_id, CAST(8 AS INT) AS side, list(CAST(round_even(v, 0) AS INT) ORDER BY y, x) AS small FROM (SELECT morph_id, x // 2 AS x, y // 2 AS y, avg(v) AS v FROM px GROUP BY ALL) GROUP BY morph_id")),
+    "img_quality": ("scores", None),
+    "img_gram": ("gram", None),
+    "img_mask_bbox": ("mask_box", ("px", "SELECT morph_id, min(x) FILTER (WHERE v > 150) AS x, min(y) FILTER (WHERE v > 150) AS y, max(x) FILTER (WHERE v > 150) - min(x) FILTER (WHERE v > 150) + 1 AS w, max(y) FILTER (WHERE v > 150) - min(y) FILTER (WHERE v > 150) + 1 AS h FROM px GROUP BY morph_id")),
+    "img_grid": ("grid", None),
+    "img_seed_mask": ("seed_mask", ("px cut", "SELECT morph_id, list(CAST(v <= g AS INT) ORDER BY i) AS mask FROM px JOIN cut USING (morph_id) GROUP BY morph_id")),
+    "img_roi_meta": ("roi_meta", None),
+}
+for _name, (_kernel, _sql) in _KERNELS.items():
 
     def _run(s, d, kernel=_kernel):
         df = images(s, d)
@@ -389,7 +409,90 @@ for _name, _kernel in {"img_context_feats": "context", "img_region_props": "prop
             df = df.withColumn("pixels", F.transform("pixels", lambda p: F.when(p > 150, p).otherwise(0)))
         return K.map_images(df, "morph_id", kernel)
 
-    op(_name)(_run)
+    op(_name, *(_sql or ()))(_run)
+
+
+# ---- drawing on the same images: the patch is the blob of each, moved ----------------------------
+
+
+def _drawn(f):
+    def run(s, d):
+        schema, kernel = f()
+        return K.map_arrays(images(s, d), "morph_id", schema, kernel)
+
+    return run
+
+
+def _blob(g):
+    return g[5:11, 4:10]
+
+
+def _flat(x):
+    return x.astype(int).ravel()
+
+
+@op("img_paste", "px", "SELECT a.morph_id, list(CASE WHEN a.x BETWEEN 9 AND 14 AND a.y BETWEEN 1 AND 6 THEN b.v ELSE a.v END ORDER BY a.i) AS image, list(CASE WHEN a.x BETWEEN 9 AND 14 AND a.y BETWEEN 1 AND 6 THEN 255 ELSE 0 END ORDER BY a.i) AS mask, [CAST(0.75 AS DOUBLE), 0.25, 0.375, 0.375] AS label FROM px a LEFT JOIN px b ON b.morph_id = a.morph_id AND b.x = a.x - 5 AND b.y = a.y + 4 GROUP BY a.morph_id")
+@_drawn
+def _():
+    """The blob covers another place, asked for beyond the border; mask and label of where it came to lie."""
+
+    def f(g):
+        out, mask = D.paste(g, _blob(g), 30, -4)
+        return {"image": _flat(out), "mask": _flat(mask), "label": D.yolo(mask)}
+
+    return "image array<int>, mask array<int>, label array<double>", f
+
+
+@op("img_blend")
+@_drawn
+def _():
+    return "image array<int>, mask array<int>", lambda g: dict(zip(("image", "mask"), map(_flat, D.blend(g, _blob(g), 9, 1))))
+
+
+@op("img_variants")
+@_drawn
+def _():
+    return "variants array<array<int>>", lambda g: {"variants": [_flat(D.variant(g, i, k)) for i, k in enumerate(D.WARPS)]}
+
+
+@op("img_foreground")
+@_drawn
+def _():
+    return "mask array<int>", lambda g: None if (m := D.foreground(g)) is None else {"mask": _flat(m)}
+
+
+@op("img_texture")
+@_drawn
+def _():
+    return "texture array<double>", lambda g: {"texture": D.texture(g)}
+
+
+@op("img_hint")
+@_drawn
+def _():
+    return "hint array<int>", lambda g: {"hint": _flat(D.hint(g, g > 150, 0.5, 0.5, K.background_class(g), 0.5))}
+
+
+@op("img_bbox_extract")
+@_drawn
+def _():
+    return "boxes array<array<int>>", lambda g: {"boxes": D.changed_boxes(D.paste(g, 255 - _blob(g), 9, 1)[0], g, 20)}
+
+
+@op("img_place", "px", """SELECT morph_id, list([px, py] ORDER BY fit DESC, py, px) AS corners, max(fit) AS fit FROM (
+  SELECT *, row_number() OVER (PARTITION BY morph_id ORDER BY fit DESC, py, px) AS r FROM (
+    SELECT p.morph_id, px, py, round(avg(t.v), 6) AS fit FROM (SELECT DISTINCT morph_id FROM px) p, (SELECT CAST(unnest([0, 3, 6, 9, 10]) AS INT) AS px), (SELECT CAST(unnest([0, 3, 6, 9, 10]) AS INT) AS py)
+    JOIN (SELECT morph_id, x // 4 AS tx, y // 4 AS ty, avg(v) AS v FROM px GROUP BY ALL) t ON t.morph_id = p.morph_id AND t.tx BETWEEN px // 4 AND (px + 5) // 4 AND t.ty BETWEEN py // 4 AND (py + 5) // 4 GROUP BY ALL)) WHERE r <= 8 GROUP BY morph_id""")
+@_drawn
+def _():
+    """Corners for the blob by the mean brightness of the four by four tiles it would touch; no tile is void."""
+
+    def f(g):
+        fit = g.reshape(4, 4, 4, 4).mean(axis=(1, 3))
+        corners, best, _ = D.scan_place(fit, fit < 0, g.shape, (6, 6), tile=4, stride=3)
+        return {"corners": corners, "fit": round(best, 6)}
+
+    return "corners array<array<int>>, fit double", f
 
 
 @op("img_rle", "", "SELECT event_id, CAST((event_id % 90) // 10 AS INT) AS x, CAST(1 AS INT) AS w FROM events WHERE (event_id % 90) % 10 + event_id % 7 + 1 <= 10")
