@@ -43,20 +43,29 @@ def rle_box(rle: Column | str, height: int) -> Column:
     return F.when(F.size(runs) > 0, box)
 
 
-def bitmap_area(data: Column | str) -> Column:
-    """Set bytes of a base64 text of a zlib stream; unreadable ones have null."""
+def decoded_bitmap(text: str | None) -> tuple[int, int, list[int]] | None:
+    """(height, width, values) of a base64 text of a zlib stream of a PNG file; a stream of anything else is one row of bytes."""
+    try:
+        raw = zlib.decompress(base64.b64decode(text))
+    except (TypeError, ValueError, zlib.error):
+        return None
+    return png(raw) or (1, len(raw), list(raw))
+
+
+def bitmap_mask(data: Column | str) -> Column:
+    """The mask of a bitmap annotation as a struct (h, w, pixels); unreadable ones have null."""
 
-    @F.pandas_udf("long")
-    def run(s: pd.Series) -> pd.Series:
-        def one(t):
-            try:
-                return int(np.count_nonzero(np.frombuffer(zlib.decompress(base64.b64decode(t)), dtype=np.uint8)))
-            except (TypeError, ValueError, zlib.error):
-                return None
+    @F.pandas_udf("struct<h int, w int, pixels array<int>>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([decoded_bitmap(t) or (None, None, None) for t in s], columns=["h", "w", "pixels"]).astype({"h": "Int32", "w": "Int32"})
 
-        return s.map(one).astype("Int64")
+    x = run(F.col(data) if isinstance(data, str) else data)
+    return F.when(x["h"].isNotNull(), x)
 
-    return run(F.col(data) if isinstance(data, str) else data)
+
+def bitmap_area(data: Column | str) -> Column:
+    """Set pixels of a bitmap annotation; unreadable ones have null."""
+    return F.aggregate(bitmap_mask(data)["pixels"], F.lit(0).cast("long"), lambda a, v: a + F.when(v > 0, 1).otherwise(0))
 
 
 # ---- grey images: arrays of h * w values ------------------------------------------------------
@@ -301,6 +310,15 @@ def cell_classes(g: np.ndarray, size: int) -> list[str]:
     return [background_class(g[y : y + size, x : x + size]) for y in range(0, g.shape[0] - size + 1, size) for x in range(0, g.shape[1] - size + 1, size)]
 
 
+def as_png(g: np.ndarray) -> bytes:
+    """A grey image as a PNG file."""
+    h, w = g.shape
+    rows = np.concatenate([np.zeros((h, 1), dtype=np.uint8), g.astype(np.uint8)], axis=1).tobytes()
+    part = lambda kind, x: len(x).to_bytes(4, "big") + kind + x + zlib.crc32(kind + x).to_bytes(4, "big")
+    head = w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+
 def netpbm(data: bytes | None) -> tuple[int, int, list[int]] | None:
     """(height, width, grey values) of a binary PGM or PPM file of 8 bits; none for anything else."""
     gap = rb"(?:\s|#[^\n]*\n)+"

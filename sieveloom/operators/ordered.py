@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveloom.runtime import materialize
+from sieveloom.runtime import broadcast_if_small, materialize
 
 
 def running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], partitions: int | None = None) -> DataFrame:
@@ -34,6 +34,15 @@ def row_numbers(df: DataFrame, order: Sequence[Column], name: str = "rn") -> Dat
     return running(df, order, {name: F.lit(1).cast("long")})
 
 
+def group_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rn") -> DataFrame:
+    """A number from 1 on within each group, counted over sorted ranges, so that a group of any size is spread
+    over many tasks. Null keys are a group; ``order`` must be total within a group."""
+    r = materialize(row_numbers(df, [*map(F.col, keys), *order], "_n"))
+    first = r.groupBy(*keys).agg(F.min("_n").alias("_f")).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    out = r.join(broadcast_if_small(first), [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return out.withColumn(name, F.col("_n") - F.col("_f") + 1).drop("_n", "_f", *[f"_k_{k}" for k in keys])
+
+
 def percentiles(df: DataFrame, column: str, ps: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact, linearly interpolated percentiles of a column, one row a group with p0, p1, ...
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveloom.functions.scores import unit_hash
-from sieveloom.operators.ordered import row_numbers, running
+from sieveloom.operators.ordered import group_ranks, row_numbers, running
 
 
 def hashed(c: str, seed: int) -> Column:
@@ -35,8 +35,7 @@ def top_fraction(df: DataFrame, order: Sequence[Column], ratio: float) -> DataFr
 def top_balanced(df: DataFrame, kind: str, order: Sequence[Column], target: int) -> DataFrame:
     """max(1, target // number of kinds) rows of each kind."""
     k = df.agg(F.greatest(F.lit(1), F.floor(F.lit(target) / F.count_distinct(kind))).alias("_k"))
-    w = Window.partitionBy(kind).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).join(F.broadcast(k), F.col("_r") <= F.col("_k")).drop("_r", "_k")
+    return group_ranks(df, [kind], order, "_r").join(F.broadcast(k), F.col("_r") <= F.col("_k")).drop("_r", "_k")
 
 
 def sample(df: DataFrame, row_id: str, k: int, seed: int = 42) -> DataFrame:
@@ -54,8 +53,8 @@ def sample_weighted(df: DataFrame, row_id: str, weight: str, k: int, seed: int =
 def equalize(df: DataFrame, arm: str, row_id: str, seed: int = 42) -> DataFrame:
     """Each arm cut down to the size of the smallest by a hashed order."""
     n = df.groupBy(arm).agg(F.count("*").alias("n")).agg(F.min("n").alias("_k"))
-    w = Window.partitionBy(arm).orderBy(hashed(row_id, seed), row_id)
-    return df.withColumn("_r", F.row_number().over(w)).join(F.broadcast(n), F.col("_r") <= F.col("_k")).drop("_r", "_k")
+    r = group_ranks(df.withColumn("_u", hashed(row_id, seed)), [arm], [F.col("_u"), F.col(row_id)], "_r")
+    return r.join(F.broadcast(n), F.col("_r") <= F.col("_k")).drop("_r", "_k", "_u")
 
 
 def preferred_first(df: DataFrame, preferred: Column, row_id: str, k: int, seed: int = 42) -> DataFrame:
@@ -81,8 +80,8 @@ def group_split(df: DataFrame, group: str, ratio: float, seed: int = 42) -> Data
 
 def round_robin(df: DataFrame, kind: str, row_id: str, k: int) -> DataFrame:
     """The first row of every kind, then the second, ..., k in all; kinds in the order of their first row."""
-    w = Window.partitionBy(kind).orderBy(row_id)
-    r = df.withColumn("_r", F.row_number().over(w))
+    r = top_per_group(df, [kind], [F.col(row_id)], k)  # no kind gives more than k
+    r = group_ranks(r, [kind], [F.col(row_id)], "_r")
     first = df.groupBy(kind).agg(F.min(row_id).alias("_f")).withColumnRenamed(kind, "_kind")
     return r.join(first, F.col(kind).eqNullSafe(F.col("_kind"))).orderBy("_r", "_f").limit(k).drop("_r", "_f", "_kind")
 

@@ -127,3 +127,34 @@ def mean_vector(df: DataFrame, vec: str = "vec") -> DataFrame:
     """One row, the element-wise mean of an array column, by (position, value) sums."""
     e = df.select(F.posexplode(vec).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"))
     return e.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("mean"))  # one entry a dimension
+
+
+def moments(df: DataFrame, vec: str = "vec") -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, mean and covariance of vectors: each task adds up its outer products, the driver the tasks' sums."""
+
+    def run(batches):
+        n, s, q = 0, None, None
+        for b in batches:
+            if len(b):
+                x = np.stack(b["vec"].to_numpy()).astype(float)
+                n, s, q = n + len(x), x.sum(0) + (0 if s is None else s), x.T @ x + (0 if q is None else q)
+        if n:
+            yield pd.DataFrame({"n": [n], "s": [s], "q": [q.ravel()]})
+
+    rows = df.where(F.col(vec).isNotNull() & (F.size(vec) > 0)).select(F.col(vec).alias("vec")).mapInPandas(run, "n long, s array<double>, q array<double>").collect()  # one row a task
+    if not rows:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    n, s = sum(r["n"] for r in rows), np.sum([r["s"] for r in rows], axis=0)
+    q = np.sum([r["q"] for r in rows], axis=0).reshape(len(s), len(s))
+    return n, s / n, (q - np.outer(s, s) / n) / max(n - 1, 1)
+
+
+def frechet(a: DataFrame, b: DataFrame) -> float | None:
+    """Frechet distance of two sets of vectors taken as normal; none if either is empty."""
+    (n, m, c), (k, o, e) = moments(a), moments(b)
+    if not n or not k:
+        return None
+    w, v = np.linalg.eigh(c)
+    root = (v * np.sqrt(np.maximum(w, 0))) @ v.T
+    cross = np.sqrt(np.maximum(np.linalg.eigvalsh(root @ e @ root), 0)).sum()
+    return float(((m - o) ** 2).sum() + np.trace(c) + np.trace(e) - 2 * cross)

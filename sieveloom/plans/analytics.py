@@ -89,6 +89,12 @@ def _(s, d):
     return fakes.crossJoin(reals).crossJoin(cover).select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "density", "coverage")])
 
 
+@op("emb_fid_kid_lpips")
+def _(s, d):
+    """The Frechet distance of either arm from the real rows, on the embeddings given; the other two need images and a network."""
+    return s.createDataFrame([(arm, V.frechet(emb(s, d, 0), emb(s, d, arm))) for arm in (1, 2)], "arm int, frechet double")
+
+
 @op("emb_rare_modes", "emb", "SELECT label, n FROM (SELECT label, count(*) AS n FROM emb WHERE arm = 0 GROUP BY label) WHERE n <= (SELECT quantile_cont(n, 0.4) FROM (SELECT count(*) AS n FROM emb WHERE arm = 0 GROUP BY label)) AND label IN (SELECT label FROM emb WHERE arm = 1)")
 def _(s, d):
     n = emb(s, d, 0).groupBy("label").agg(F.count("*").alias("n"))
@@ -192,7 +198,14 @@ def _labelled(s, d, how):
     return c.crossJoin(F.broadcast(one)).select("id", "cluster", *[z(f).alias(f) for f in MORPH])
 
 
-@op("agg_silhouette")
+_Z = ", ".join(f"CASE WHEN s_{f} < 1e-9 THEN 0 ELSE ({f} - m_{f}) / s_{f} END AS {f}" for f in MORPH)
+CTE["shapes"] = f"SELECT morph_id AS id, {', '.join(MORPH)} FROM morph WHERE {' AND '.join(f'{f} IS NOT NULL' for f in MORPH)} AND aspect_ratio < 99"
+CTE["thirds"] = "SELECT id, CAST(aspect_ratio >= a AS INT) + CAST(aspect_ratio >= b AS INT) AS cluster FROM shapes, (SELECT round(quantile_cont(aspect_ratio, 0.3333), 9) AS a, round(quantile_cont(aspect_ratio, 0.6667), 9) AS b FROM shapes)"
+CTE["scaled"] = f"SELECT id, cluster, {_Z} FROM shapes JOIN thirds USING (id), (SELECT {', '.join(f'avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}' for f in MORPH)} FROM shapes)"
+_APART = " + ".join(f"(x.{f} - y.{f}) * (x.{f} - y.{f})" for f in MORPH)
+
+
+@op("agg_silhouette", "morph shapes thirds scaled", f"SELECT round(avg(coalesce((b - a) / greatest(a, b, 1e-12), 0)), 6) AS silhouette FROM (SELECT id, max(CASE WHEN own = other AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b FROM (SELECT x.id, x.cluster AS own, y.cluster AS other, sum(sqrt({_APART})) AS s, count(*) AS n FROM scaled x, scaled y GROUP BY 1, 2, 3) GROUP BY id)")
 def _(s, d):
     return P.silhouette(_labelled(s, d, "percentile"), MORPH, "cluster").select(F.round("silhouette", 6).alias("silhouette"))
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import base64
+import json
 import uuid
+import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sieveloom.functions.boxes import yolo, yolo_line
@@ -45,10 +50,10 @@ def _(s, d):
     return R.json_document(s, p + "-document", "n_nationkey int, n_name string")
 
 
-@op("src_jsonl", "", "SELECT event_id, event_type FROM events WHERE user_id < 20")
+@op("src_jsonl", "", "SELECT event_id, event_type FROM events")
 def _(s, d):
     p = spot(s)
-    read(s, d, "events").where("user_id < 20").select("event_id", "event_type").write.json(p)
+    read(s, d, "events").select("event_id", "event_type").write.json(p)
     return R.json_lines(s, p, "event_id long, event_type string")
 
 
@@ -59,12 +64,12 @@ def _(s, d):
     return R.json_lines(s, p, "s_suppkey long, s_name string")
 
 
-@op("snk_jsonl", "cand", "SELECT row_id, image_id FROM cand WHERE prompt IS NOT NULL")
+@op("snk_jsonl", "cand", "SELECT row_id, image_id FROM cand")
 def _(s, d):
     from sieveloom.plans.base import latest
 
     p = spot(s)
-    W.json_lines(latest(read(s, d, "roi_candidates"), "row_id", ["image_id", "prompt"]).where("prompt is not null"), p)
+    W.json_lines(latest(read(s, d, "roi_candidates"), "row_id", ["image_id", "prompt"]), p)
     return R.json_lines(s, p, "row_id long, image_id string")
 
 
@@ -91,18 +96,21 @@ _FILES = [("train", "good", "a1.png"), ("train", "good", "a2.png"), ("test", "go
 _VALUES = "(VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _FILES) + ") t(split, kind, file)"
 
 
-def tree(s) -> str:
-    """A small tree of files written through the cluster's file system."""
-    p, jvm = spot(s), s.sparkContext._jvm
-    conf = s.sparkContext._jsc.hadoopConfiguration()
-    for a, b, c in _FILES:
-        at = jvm.org.apache.hadoop.fs.Path(f"{p}/{a}/{b}/{c}")
+def files(s, contents: dict[str, bytes]) -> str:
+    """A folder with these files, written through the cluster's file system."""
+    p, jvm, conf = spot(s), s.sparkContext._jvm, s.sparkContext._jsc.hadoopConfiguration()
+    for name, data in contents.items():
+        at = jvm.org.apache.hadoop.fs.Path(f"{p}/{name}")
         out = at.getFileSystem(conf).create(at)
-        out.write(bytearray(c.encode()))
+        out.write(bytearray(data))
         out.close()
     return p
 
 
+def tree(s) -> str:
+    return files(s, {f"{a}/{b}/{c}": c.encode() for a, b, c in _FILES})
+
+
 @op("src_listing", "", f"SELECT file, length(file) AS bytes FROM {_VALUES} WHERE file LIKE '%.png' OR file LIKE '%.JPG'")
 def _(s, d):
     return R.listing(s, tree(s), "*.{png,JPG}").select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes")
@@ -119,10 +127,19 @@ def _(s, d):
     return x.groupBy("split", "kind").agg(F.count("*").alias("n"))
 
 
-@op("src_results_tree", "", f"SELECT split, kind, count(*) AS n FROM {_VALUES} GROUP BY 1, 2")
+_ARM = "CASE WHEN n_nationkey % 2 = 0 THEN 'baseline' ELSE 'full' END"
+
+
+@op("src_results_tree", "", f"SELECT r_name AS category, n_name AS model, {_ARM} AS arm, CASE WHEN n_nationkey % 5 > 0 THEN n_nationkey / 100 END AS image_auroc, n_nationkey * 10 AS n_train FROM nation JOIN region ON r_regionkey = n_regionkey")
 def _(s, d):
-    x = R.listing(s, tree(s), "*").withColumn("split", F.element_at(F.split("path", "/"), -3)).withColumn("kind", F.element_at(F.split("path", "/"), -2))
-    return x.groupBy("split", "kind").agg(F.count("*").alias("n"))
+    """One result file a nation, some without the score, beside files that are none."""
+    n = read(s, d, "nation").join(read(s, d, "region"), F.col("r_regionkey") == F.col("n_regionkey")).collect()
+    out = {}
+    for r in n:
+        k, at = r["n_nationkey"], f"{r['r_name']}/{r['n_name']}/{'full' if r['n_nationkey'] % 2 else 'baseline'}"
+        out[f"{at}/experiment_meta.json"] = json.dumps({"n_train": k * 10} | ({"image_auroc": k / 100} if k % 5 else {}), indent=1).encode()
+        out[f"{at}/log.txt"] = b"none"
+    return R.results_tree(s, files(s, out), "image_auroc double, n_train int")
 
 
 @op("src_discover", "morph", "SELECT morph_id FROM (SELECT morph_id, row_number() OVER (PARTITION BY regexp_replace(image_path, '/[^/]*$', '') ORDER BY image_path, morph_id) AS r FROM morph WHERE image_path <> '') WHERE r <= 5")
@@ -169,19 +186,34 @@ def _(s, d):
     return x.groupBy(F.col("ImageId").cast("long").alias("image")).agg(F.count("*").alias("runs"), F.sum(K.rle_area("EncodedPixels")).alias("area"))
 
 
-@op("src_item_folders", "cand", "SELECT image_id, CASE WHEN bool_and(defect_mask_path IS NULL) THEN 'skipped' WHEN bool_or(defect_bbox IS NOT NULL) THEN 'defect' ELSE 'good' END AS status FROM cand GROUP BY image_id")
+@op("src_item_folders", "", "SELECT 'item' || n_nationkey AS item, CASE n_nationkey % 4 WHEN 0 THEN 'skipped' WHEN 1 THEN 'good' WHEN 2 THEN 'defect' ELSE 'defect' END AS status FROM nation")
 def _(s, d):
-    g = cand(s, d).groupBy("image_id").agg(F.bool_and(F.col("defect_mask_path").isNull()).alias("no_mask"), F.bool_or(F.col("defect_bbox").isNotNull()).alias("box"))
-    return g.select("image_id", F.when(F.col("no_mask"), "skipped").when(F.col("box"), "defect").otherwise("good").alias("status"))
-
-
-@op("src_bitmap_json")
+    """A folder a nation: without a mask, with an empty one, with one of either name, with an unreadable one before a good one."""
+    blank, spot_ = np.zeros((4, 5), np.uint8), np.eye(4, 5, dtype=np.uint8) * 255
+    out = {}
+    for r in read(s, d, "nation").select("n_nationkey").collect():
+        k = r[0]
+        masks = {0: {"label.txt": b""}, 1: {"Part0_label.png": K.as_png(blank)}, 2: {"Part0_mask.png": K.as_png(spot_)}, 3: {"Part0_label.png": b"broken", "Part0_mask.png": K.as_png(spot_)}}[k % 4]
+        out |= {f"item{k}/{name}": x for name, x in ({"Part0.jpg": b"jpg"} | masks).items()}
+    x = s.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{png,jpg}").load(files(s, out))
+    return R.item_folders(x.select("path", "content"), ["_label.png", "_mask.png"]).select("item", "status")
+
+
+@op("src_bitmap_json", "px", "SELECT morph_id, CASE WHEN morph_id % 10 > 0 THEN 16 END AS h, CASE WHEN morph_id % 10 > 0 THEN count(*) FILTER (WHERE v > 0) END AS area FROM px GROUP BY morph_id")
 def _(s, d):
-    import base64
-    import zlib
+    """Annotations of every record as JSON with a PNG bitmap, a tenth of them broken, written as lines and read again."""
+    from sieveloom.plans.analytics import images
 
-    data = base64.b64encode(zlib.compress(bytes([0, 255, 255, 0, 1]))).decode()
-    return read(s, d, "region").select("r_regionkey", K.bitmap_area(F.when(F.col("r_regionkey") == 0, "broken").otherwise(data)).alias("area"))
+    @F.pandas_udf("string")
+    def packed(px: pd.Series) -> pd.Series:
+        return px.map(lambda x: base64.b64encode(zlib.compress(K.as_png(np.asarray(x).reshape(16, 16)))).decode())
+
+    p = spot(s)
+    data = F.when(F.col("morph_id") % 10 == 0, "broken").otherwise(packed("pixels"))
+    images(s, d).select("morph_id", F.array(F.struct(F.struct(data.alias("data"), F.array(F.lit(3), F.lit(4)).alias("origin")).alias("bitmap"))).alias("objects")).write.json(p)
+    x = R.json_lines(s, p, "morph_id long, objects array<struct<bitmap: struct<data: string, origin: array<int>>>>")
+    x = x.select("morph_id", F.explode("objects.bitmap").alias("b"))
+    return x.select("morph_id", K.bitmap_mask("b.data")["h"].alias("h"), K.bitmap_area("b.data").alias("area"))
 
 
 @op("src_complexity_glob", "", "SELECT r_name AS dataset, 'mci' AS component, CAST(r_regionkey AS DOUBLE) / 10 AS value FROM region UNION ALL SELECT r_name, 'cci', CAST(r_regionkey AS DOUBLE) / 5 FROM region")
@@ -228,22 +260,52 @@ def _(s, d):
     return s.read.parquet(p).groupBy(F.col("split").cast("string").alias("split"), "label").agg(F.count("*").alias("n"))
 
 
-@op("snk_report_md", "", "SELECT 7 AS lines")
+@op("snk_report_md", "", "SELECT row_number() OVER (ORDER BY k) - 1 AS line, text FROM (SELECT -2 AS k, '| r_regionkey | r_name |' AS text UNION ALL SELECT -1, '| --- | --- |' UNION ALL SELECT r_regionkey, '| ' || r_regionkey || ' | ' || r_name || ' |' FROM region)")
+def _(s, d):
+    text = W.markdown(read(s, d, "region").select("r_regionkey", "r_name").orderBy("r_regionkey"))
+    p = files(s, {"report.md": text.encode()})
+    return R.text_lines(s, p).select("line", "text")
+
+
+@op("src_yaml", "", "SELECT r_name AS region, r_regionkey AS key, CASE WHEN r_regionkey % 2 = 0 THEN 'slow' ELSE 'fast' END AS mode, list(n_name ORDER BY n_nationkey) AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL")
+def _(s, d):
+    """A document of settings by region, read back over defaults that half of the regions keep."""
+    n = read(s, d, "nation").join(read(s, d, "region"), F.col("r_regionkey") == F.col("n_regionkey")).orderBy("n_nationkey").collect()
+    by: dict = {}
+    for r in n:
+        by.setdefault((r["r_name"], r["r_regionkey"]), []).append(r["n_name"])
+    text = "# settings\nregions:\n" + "".join(f"  {k}:  # one\n    key: {i}\n" + ("    mode: 'slow'\n" if i % 2 == 0 else "") + "    nations:\n" + "".join(f'    - "{x}"\n' for x in xs) for (k, i), xs in by.items())
+    lines = R.text_lines(s, files(s, {"config.yaml": text.encode()})).orderBy("line").collect()
+    found = R.yaml("\n".join(r["text"] for r in lines))["regions"]
+    full = R.with_defaults(found, {k: {"key": -1, "mode": "fast", "nations": []} for k in found})
+    return s.createDataFrame([(k, v["key"], v["mode"], v["nations"]) for k, v in full.items()], "region string, key int, mode string, nations array<string>")
+
+
+@op("val_config", "", "SELECT r_name AS domain, CASE WHEN r_regionkey % 2 = 1 THEN 'image_dir' ELSE '' END AS missing, r_regionkey >= 3 AS unknown FROM region")
 def _(s, d):
-    text = W.markdown(read(s, d, "region").orderBy("r_regionkey"))
-    return s.createDataFrame([(len(text.split("\n")),)], "lines int")
+    """An entry a region: half lack a required setting, the last ones are of no known domain."""
+    rows = read(s, d, "region").orderBy("r_regionkey").collect()
+    known = {r["r_name"] for r in rows if r["r_regionkey"] < 3}
+    out = []
+    for r in rows:
+        entry = {"domain": r["r_name"], "seed_dirs": ["/s"]} | ({"image_dir": "/i"} if r["r_regionkey"] % 2 == 0 else {})
+        out.append((r["r_name"], ",".join(R.require(entry, ["domain", "image_dir", "seed_dir"])), entry["domain"] not in known))
+    return s.createDataFrame(out, "domain string, missing string, unknown boolean")
 
 
-@op("src_yaml")
+@op("val_path", "", "SELECT n_name AS name, CASE n_nationkey % 3 WHEN 0 THEN 'file' WHEN 1 THEN 'folder' ELSE 'missing' END AS kind FROM nation")
 def _(s, d):
-    cfg = R.with_defaults({"policy": {"max_k": 4}}, {"policy": {"max_k": 8, "seed": 0}, "mci": {"weights": "equal"}})
-    return s.createDataFrame([(k, str(v)) for k, v in sorted(cfg["policy"].items())], "key string, value string")
+    rows = read(s, d, "nation").collect()
+    p = files(s, {f"{r['n_name']}" if r["n_nationkey"] % 3 == 0 else f"{r['n_name']}/x": b"x" for r in rows if r["n_nationkey"] % 3 < 2})
+    return s.createDataFrame([(r["n_name"], R.kind_of_path(s, f"{p}/{r['n_name']}")) for r in rows], "name string, kind string")
 
 
-@op("val_config")
+@op("emb_cache", "", "SELECT vec_id, label FROM embeddings")
 def _(s, d):
-    gaps = R.require({"domain": "isp", "image_dir": "/x", "seed_dirs": ["/y"]}, ["domain", "image_dir", "seed_dir"])
-    return s.createDataFrame([("config", len(gaps))], "name string, missing int")
+    """Twice from one folder: the second reads what the first wrote, although its plan would fail."""
+    p, e = spot(s), read(s, d, "embeddings").select("vec_id", "label")
+    W.cached(e, p, {"model": "given", "rows": "embeddings"})
+    return W.cached(e.where(F.raise_error(F.lit("computed again")).isNull()), p, {"rows": "embeddings", "model": "given"})
 
 
 @op("ext_stream_upsert", "cand", "SELECT row_id, image_id FROM cand")
@@ -266,14 +328,14 @@ def _(s, d):
     return windowed_counts(read(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
 
 
-@op("src_image", "", "SELECT * FROM (VALUES ('a.pgm', 2, 3, 9), ('b.ppm', 1, 1, 2), ('c.pgm', NULL, NULL, NULL)) t(file, h, w, total)")
+@op("src_image", "", "SELECT n_name AS name, CASE WHEN n_nationkey % 4 < 3 THEN 6 END AS h, CASE WHEN n_nationkey % 4 < 3 THEN n_nationkey + 1 END AS w, CASE WHEN n_nationkey % 4 < 3 THEN (SELECT sum(i * (n_nationkey + 3) % 251) FROM (SELECT unnest(range(6 * (n_nationkey + 1))) AS i)) END AS total FROM nation")
 def _(s, d):
-    p, jvm, conf = spot(s), s.sparkContext._jvm, s.sparkContext._jsc.hadoopConfiguration()
-    for name, data in {"a.pgm": b"P5\n# made here\n3 2\n255\n" + bytes([0, 1, 2, 1, 2, 3]), "b.ppm": b"P6 1 1 255\n" + bytes([1, 2, 3]), "c.pgm": b"broken"}.items():
-        at = jvm.org.apache.hadoop.fs.Path(f"{p}/{name}")
-        out = at.getFileSystem(conf).create(at)
-        out.write(bytearray(data))
-        out.close()
-    x = K.read_images(s.read.format("binaryFile").load(p))
-    total = F.aggregate("pixels", F.lit(0), lambda a, v: a + v)
-    return x.select(F.element_at(F.split("path", "/"), -1).alias("file"), "h", "w", total.alias("total"))
+    """An image file a nation: PNG, PGM, PPM of three equal channels, or broken."""
+    out = {}
+    for r in read(s, d, "nation").collect():
+        k = r["n_nationkey"]
+        g = (np.arange(6 * (k + 1)) * (k + 3) % 251).astype(np.uint8).reshape(6, k + 1)
+        out[f"{r['n_name']}.img"] = [K.as_png(g), b"P5\n# made here\n%d 6\n255\n" % (k + 1) + g.tobytes(), b"P6 %d 6 255\n" % (k + 1) + np.repeat(g, 3).tobytes(), b"\x89PNG broken"][k % 4]
+    x = K.read_images(s.read.format("binaryFile").load(files(s, out)))
+    total = F.aggregate("pixels", F.lit(0).cast("long"), lambda a, v: a + v)
+    return x.select(F.regexp_extract("path", "([^/]+)[.]img$", 1).alias("name"), "h", "w", total.alias("total"))

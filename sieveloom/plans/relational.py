@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sieveloom.functions import scores as S
 from sieveloom.operators import joins as J
+from sieveloom.operators import ordered as O
 from sieveloom.operators import selection as X
 from sieveloom.operators import similarity as V
 from sieveloom.plans import statistics as T
@@ -73,9 +74,9 @@ def _(s, d):
     return morph(s, d).select("morph_id", "image_id").join(m, "image_id", "left").select("morph_id", F.round(F.col("v") + 1e-10, 6).alias("v"))
 
 
-@op("jn_context_or_global", "morph patch", "SELECT morph_id, round(coalesce(v, (SELECT avg(texture_entropy) FROM patch WHERE texture_entropy < 4)) + 1e-10::DOUBLE, 6) AS v FROM morph LEFT JOIN (SELECT image_id, avg(texture_entropy) AS v FROM patch WHERE texture_entropy < 4 GROUP BY image_id) USING (image_id)")
+@op("jn_context_or_global", "morph patch", "SELECT morph_id, round(coalesce(v, (SELECT avg(texture_entropy) FROM patch)) + 1e-10::DOUBLE, 6) AS v FROM morph LEFT JOIN (SELECT image_id, avg(texture_entropy) AS v FROM patch GROUP BY image_id) USING (image_id)")
 def _(s, d):
-    p = patch(s, d).where("texture_entropy < 4")
+    p = patch(s, d)
     m = p.groupBy("image_id").agg(F.avg("texture_entropy").alias("v"))
     g = p.agg(F.avg("texture_entropy").alias("g"))
     j = morph(s, d).select("morph_id", "image_id").join(m, "image_id", "left").crossJoin(F.broadcast(g))
@@ -264,8 +265,8 @@ def _(s, d):
 
 @op("win_region_counter", "cand", "SELECT row_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY row_id) - 1 AS INT) AS region FROM cand WHERE defect_mask_path IS NOT NULL")
 def _(s, d):
-    w = Window.partitionBy("image_id").orderBy("row_id")
-    return cand(s, d).where("defect_mask_path is not null").select("row_id", (F.row_number().over(w) - 1).alias("region"))
+    c = cand(s, d).where("defect_mask_path is not null").select("row_id", "image_id")
+    return O.group_ranks(c, ["image_id"], [F.col("row_id")], "r").select("row_id", (F.col("r") - 1).cast("int").alias("region"))
 
 
 @op("win_running_cap", "cand", "SELECT row_id FROM (SELECT row_id, row_number() OVER (PARTITION BY image_path, defect_bbox ORDER BY roi_score DESC, row_id) AS r FROM cand) WHERE r <= 1")
@@ -360,8 +361,8 @@ def _(s, d):
 def _(s, d):
     df = cand(s, d).select("row_id", "class_key", "defect_mask_path")
     n = df.groupBy(F.col("class_key").alias("k")).agg(F.greatest(F.lit(1), F.floor(F.count("*") * F.lit(0.5))).alias("cap"))
-    w = Window.partitionBy("class_key").orderBy(F.when(F.col("defect_mask_path").isNotNull(), 0).otherwise(1), X.hashed("row_id", 42), "row_id")
-    r = df.withColumn("r", F.row_number().over(w)).join(broadcast_if_small(n), F.col("class_key").eqNullSafe(F.col("k")))
+    df = df.select("row_id", "class_key", F.when(F.col("defect_mask_path").isNotNull(), 0).otherwise(1).alias("later"), X.hashed("row_id", 42).alias("u"))
+    r = O.group_ranks(df, ["class_key"], [F.col("later"), F.col("u"), F.col("row_id")], "r").join(broadcast_if_small(n), F.col("class_key").eqNullSafe(F.col("k")))
     return r.where("r <= cap").select("row_id")
 
 

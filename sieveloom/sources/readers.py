@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sieveloom.operators.kernels import read_images
 from sieveloom.operators.selection import top_per_group
 
 
@@ -104,3 +106,100 @@ def require(config: dict, fields: Sequence[str]) -> list[str]:
     """Names of required settings that are missing; seed_dir and seed_dirs stand for each other."""
     either = {"seed_dir": "seed_dirs", "seed_dirs": "seed_dir"}
     return [f for f in fields if config.get(f) in (None, "") and config.get(either.get(f, f)) in (None, "", [])]
+
+
+def kind_of_path(spark: SparkSession, path: str | None) -> str:
+    """``folder``, ``file`` or ``missing``."""
+    if not path:
+        return "missing"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return "missing" if not fs.exists(p) else "folder" if fs.getFileStatus(p).isDirectory() else "file"
+
+
+def yaml(text: str) -> dict:
+    """Settings of a YAML document: nested mappings and lists by indentation, plain and quoted scalars, lists and
+    mappings in brackets of scalars, comments. Anchors, tags and folded texts are none of it and raise ValueError."""
+    lines = []
+    for raw in text.splitlines():
+        line = re.sub(r"(^|\s)#(?=([^\"']*(\"[^\"]*\"|'[^']*'))*[^\"']*$).*", "", raw).rstrip()
+        if line.strip() and line.strip() != "---":
+            lines.append((len(line) - len(line.lstrip(" ")), line.strip()))
+
+    def scalar(t: str):
+        if t and t[0] in "[{" and t[-1] in "]}":
+            parts = [x.strip() for x in re.findall(r"(?:[^,\"']|\"[^\"]*\"|'[^']*')+", t[1:-1]) if x.strip()]
+            return [scalar(x) for x in parts] if t[0] == "[" else {str(scalar(k.strip())): scalar(v.strip()) for k, v in (x.split(":", 1) for x in parts)}
+        if t and t[0] in "&*!|>":
+            raise ValueError(f"not read: {t}")
+        if len(t) > 1 and t[0] == t[-1] and t[0] in "\"'":
+            return t[1:-1]
+        words = {"": None, "~": None, "null": None, "true": True, "false": False}
+        if t.lower() in words:
+            return words[t.lower()]
+        for kind in (int, float):
+            try:
+                return kind(t)
+            except ValueError:
+                pass
+        return t
+
+    def block(i: int, indent: int):
+        """The mapping or list of the lines from i on that are indented so, and the line after it."""
+        out: dict | list | None = None
+        while i < len(lines) and lines[i][0] == indent:
+            t = lines[i][1]
+            if t == "-" or t.startswith("- "):
+                out = [] if out is None else out
+                if t == "-":
+                    v, i = block(i + 1, lines[i + 1][0])
+                elif re.match(r"- [^\"'\[{][^:]*:( |$)", t):
+                    lines[i] = (indent + 2, t[2:].strip())
+                    v, i = block(i, indent + 2)
+                else:
+                    v, i = scalar(t[2:].strip()), i + 1
+                out.append(v)
+            else:
+                k, colon, v = t.partition(":")
+                if not colon:
+                    raise ValueError(f"not read: {t}")
+                out = {} if out is None else out
+                deeper = i + 1 < len(lines) and (lines[i + 1][0] > indent or lines[i + 1][0] == indent and lines[i + 1][1].startswith("-"))
+                if not v.strip() and deeper:
+                    out[str(scalar(k.strip()))], i = block(i + 1, lines[i + 1][0])
+                else:
+                    out[str(scalar(k.strip()))], i = scalar(v.strip()), i + 1
+        return out, i
+
+    if not lines:
+        return {}
+    out, end = block(0, lines[0][0])
+    if end < len(lines):
+        raise ValueError(f"not read: {lines[end][1]}")
+    return out
+
+
+def results_tree(spark: SparkSession, path: str, schema: str, file: str = "experiment_meta.json") -> DataFrame:
+    """(category, model, arm, columns of schema): the JSON files of a tree category/model/arm; absent fields are null."""
+    df = spark.read.schema(schema).option("multiLine", True).json(f"{path}/*/*/*/{file}").select("*", F.split(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "/").alias("_at"))
+    at = lambda i: F.element_at("_at", i)
+    return df.select(at(-4).alias("category"), at(-3).alias("model"), at(-2).alias("arm"), *[c for c in df.columns if c != "_at"])
+
+
+def item_folders(files: DataFrame, masks: Sequence[str]) -> DataFrame:
+    """(item, image, mask, status) of files (path, content) in one folder an item: an image and its mask.
+
+    masks: endings of mask names in order of preference, as ``_label.png``. An item whose mask has no set
+    pixel is ``good``, else ``defect``; without a mask that can be read it is ``skipped``.
+    """
+    parts = F.split("path", "/")
+    name, stem = F.element_at(parts, -1), F.regexp_replace(F.element_at(parts, -1), "[.][^.]*$", "")
+    rank, base = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for i, m in reversed(list(enumerate(masks))):
+        rank, base = F.when(name.endswith(m), i).otherwise(rank), F.when(name.endswith(m), F.substring(name, F.lit(1), F.length(name) - len(m))).otherwise(base)
+    x = files.select("path", "content", F.element_at(parts, -2).alias("item"), rank.alias("_rank"), F.coalesce(base, stem).alias("stem"))
+    read = read_images(x.where("_rank is not null").select("path", "content")).select("path", F.exists("pixels", lambda v: v > 0).alias("set"))
+    found = x.where("_rank is not null").join(read, "path").where("set is not null").groupBy("item", "stem").agg(F.min_by(F.struct("path", "set"), "_rank").alias("m"))
+    images = x.where("_rank is null").select("item", "stem", F.col("path").alias("image"))
+    status = F.when(F.col("m").isNull(), "skipped").when(F.col("m.set"), "defect").otherwise("good")
+    return images.join(found, ["item", "stem"], "left").select("item", "image", F.col("m.path").alias("mask"), status.alias("status"))

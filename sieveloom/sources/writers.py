@@ -57,3 +57,15 @@ def markdown(df: DataFrame, most: int = 200) -> str:
     """A Markdown table of at most ``most`` rows of a report."""
     rows = [df.columns, ["---"] * len(df.columns), *[["" if v is None else str(v) for v in r] for r in df.limit(most).collect()]]
     return "\n".join("| " + " | ".join(r) + " |" for r in rows)
+
+
+def cached(df: DataFrame, folder: str, made_of: dict) -> DataFrame:
+    """df as a table in the folder, named by a fingerprint of what it is made of; computed only if it isn't there yet.
+
+    A table is only used when it was written to its end; one left unfinished is written again."""
+    from sieveloom.sources.readers import exists
+
+    path = f"{folder}/{fingerprint(made_of)[:24]}"
+    if not exists(df.sparkSession, f"{path}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from sieveloom.sources import readers as R
@@ -46,3 +47,44 @@ def test_ingest_twice_changes_nothing(spark, tmp_path):
     spark.createDataFrame([(2, "later", 5)], df.schema).write.mode("append").parquet(f"{p}/in")
     ingest(spark, f"{p}/in", df.schema, f"{p}/t", ["id"], f"{p}/c")
     assert {(r["id"], r["v"]) for r in snapshot(spark, f"{p}/t").collect()} == {(1, "new"), (2, "later")}
+
+
+def test_yaml_settings():
+    text = """
+# head
+policy:            # comment
+  max_k: 8
+  rate: 0.5
+  name: "a: b # no comment"
+  off: null
+  flags: [yes_, 'two, three', true]
+  deep: {x: 1, y: -2.5}
+items:
+- id: 1
+  tags:
+    - a
+    - b
+- id: 2
+-
+  id: 3
+empty:
+"""
+    assert R.yaml(text) == {
+        "policy": {"max_k": 8, "rate": 0.5, "name": "a: b # no comment", "off": None, "flags": ["yes_", "two, three", True], "deep": {"x": 1, "y": -2.5}},
+        "items": [{"id": 1, "tags": ["a", "b"]}, {"id": 2}, {"id": 3}],
+        "empty": None,
+    }
+    assert R.yaml("") == {} and R.yaml("- 1\n- x") == [1, "x"]
+    for bad in ("a: &b 1", "just words", "a: 1\n   b: 2"):
+        with pytest.raises(ValueError):
+            R.yaml(bad)
+
+
+def test_cache_computes_once(spark, tmp_path):
+    one = W.cached(spark.range(3).toDF("x"), str(tmp_path), {"a": 1})
+    assert one.count() == 3
+    assert W.cached(spark.range(9).toDF("x"), str(tmp_path), {"a": 1}).count() == 3
+    assert W.cached(spark.range(9).toDF("x"), str(tmp_path), {"a": 2}).count() == 9
+    (unfinished,) = [p for p in tmp_path.iterdir() if spark.read.parquet(str(p)).count() == 9]
+    (unfinished / "_SUCCESS").unlink()
+    assert W.cached(spark.range(5).toDF("x"), str(tmp_path), {"a": 2}).count() == 5

@@ -56,3 +56,25 @@ def test_nearest_keeps_ties_by_id(spark):
     for r in left.collect():
         assert got[r["id"]] == [x["id"] for x in rows if x["vec"] == r["vec"]][:4]
     assert V.nearest(left, right.where(F.lit(False))).count() == 0
+
+
+def test_frechet_distance_matches_whole_matrices(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(80, 5)) @ rng.normal(size=(5, 5)), rng.normal(1, 2, (50, 5))
+    table = lambda m: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)] + [(-1, None), (-2, [])], "id long, vec array<double>").repartition(6)
+    c, e = np.cov(x.T), np.cov(y.T)
+    want = ((x.mean(0) - y.mean(0)) ** 2).sum() + np.trace(c + e) - 2 * np.sqrt(np.maximum(np.linalg.eigvals(c @ e).real, 0)).sum()
+    assert abs(V.frechet(table(x), table(y)) - want) < 1e-6 and abs(V.frechet(table(x), table(x))) < 1e-6
+    assert V.frechet(table(x), table(x).limit(0)) is None
+
+
+def test_ranks_within_groups_of_any_size(spark):
+    from sieveloom.operators.ordered import group_ranks
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot"] * 6 + ["a", None]), i, rng.random()) for i in range(300)]
+    got = {(r["k"], r["i"]): r["rn"] for r in group_ranks(spark.createDataFrame(rows, "k string, i long, x double"), ["k"], [F.col("x"), F.col("i")]).collect()}
+    for k in ("hot", "a", None):
+        assert [got[(k, i)] for _, i in sorted((x, i) for g, i, x in rows if g == k)] == list(range(1, 1 + sum(r[0] == k for r in rows)))
