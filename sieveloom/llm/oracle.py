@@ -84,4 +84,6 @@ SELECT image_kind, image_id, metric, n, p, xs[greatest(1, CAST(ceil(p * n) AS BI
 FROM lists CROSS JOIN (SELECT CAST(unnest([0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]) AS DOUBLE) AS p)
 """
 
-ORACLE: dict[str, str] = {"p1_quotas": P1_QUOTAS, "p2_images": P2_IMAGES, "p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_kept": P3_KEPT, "p4_found": P4_FOUND, "p4_top": P4_TOP}
+P7_DECODED = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+
+ORACLE: dict[str, str] = {"p7_decoded": P7_DECODED, "p1_quotas": P1_QUOTAS, "p2_images": P2_IMAGES, "p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_kept": P3_KEPT, "p4_found": P4_FOUND, "p4_top": P4_TOP}
