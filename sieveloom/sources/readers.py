@@ -149,7 +149,10 @@ def yaml(text: str) -> dict:
         out: dict | list | None = None
         while i < len(lines) and lines[i][0] == indent:
             t = lines[i][1]
-            if t == "-" or t.startswith("- "):
+            entry = t == "-" or t.startswith("- ")
+            if out is not None and entry != isinstance(out, list):  # a list may stand at its key's own indentation
+                break
+            if entry:
                 out = [] if out is None else out
                 if t == "-":
                     v, i = block(i + 1, lines[i + 1][0])
