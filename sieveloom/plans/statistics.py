@@ -301,11 +301,11 @@ def _(s, d):
     return patch(s, d).groupBy("image_id").agg(F.coalesce(explicit("image_w"), at(1)).alias("w"), F.coalesce(explicit("image_h"), at(2)).alias("h"))
 
 
-@op("agg_image_compat", "patch edges celled floors voided", "SELECT image_id, round(coalesce(avg(CASE WHEN NOT void THEN coalesce(p, 0.5) END), -1), 6) AS compat FROM voided v LEFT JOIN (SELECT cell_key AS ck, p FROM compatibility WHERE cluster_id = 0) c ON c.ck = v.cell_key WHERE kind = 'good' GROUP BY image_id")
+@op("agg_image_compat", "patch edges celled floors voided", "SELECT image_id, round(coalesce(avg(CASE WHEN NOT void THEN coalesce(p, 0.5) END), -1) + 1e-9::DOUBLE, 6) AS compat FROM voided v LEFT JOIN (SELECT cell_key AS ck, p FROM compatibility WHERE cluster_id = 0) c ON c.ck = v.cell_key WHERE kind = 'good' GROUP BY image_id")
 def _(s, d):
     comp = read(s, d, "compatibility").where("cluster_id = 0").select("cell_key", "p")
     v = voided(s, d).where("kind = 'good'").join(comp, "cell_key", "left")
-    return v.groupBy("image_id").agg(F.round(F.coalesce(F.avg(F.when(~F.col("void"), F.coalesce("p", F.lit(0.5)))), F.lit(-1.0)), 6).alias("compat"))
+    return v.groupBy("image_id").agg(F.round(F.coalesce(F.avg(F.when(~F.col("void"), F.coalesce("p", F.lit(0.5)))), F.lit(-1.0)) + 1e-9, 6).alias("compat"))  # a mean between two digits, whatever the order of its sum, is rounded up
 
 
 _SEL = "quality_score >= 0.8"
