@@ -123,14 +123,16 @@ def split_shares(targets: DataFrame, name: str = "split_name", share: str = "sha
     return {r[name]: r["s"] for r in rows}
 
 
-def staircase(before: np.ndarray, own: np.ndarray, part: np.ndarray) -> np.ndarray:
+def due(before: np.ndarray, own: np.ndarray, part: np.ndarray) -> np.ndarray:
     """What a shard with label counts ``own`` should give each split, after shards with ``before`` in all.
 
-    part: splits by labels. Each split gets the rounded total up to this shard less the one up to the shards
-    before, so that the sums over any number of shards stay within one record of the shares."""
-    edge = np.cumsum(part, axis=0)
-    upto = lambda n: np.diff(np.floor(edge * n[None, :] + 0.5), axis=0, prepend=0)
-    return upto(before + own) - upto(before)
+    part: splits by labels. The records of a label are numbered through all shards, and the multiples of the
+    golden ratio tell the split of each number, so that any run of numbers is shared out nearly exactly."""
+    out = np.zeros(part.shape)
+    for l, (b, n) in enumerate(zip(before, own)):
+        at = np.mod((b + np.arange(int(n)) + 0.5) * 0.6180339887498949, 1.0)
+        out[:, l] = np.bincount(np.searchsorted(np.cumsum(part[:-1, l]), at, side="right"), minlength=len(part))
+    return out
 
 
 def grouped_splits(rows: DataFrame, component: str, label: str, shares: dict[str, float], *, seed: int = 3, shard_rows: int = 200_000, large: float = 1e-3, max_labels: int = 10_000) -> DataFrame:
@@ -140,7 +142,7 @@ def grouped_splits(rows: DataFrame, component: str, label: str, shares: dict[str
     its own; rows without a component are left out; an empty table has no splits. Components holding
     ``large`` of all records or more (at most 1/large of them) are placed first in one task, the others
     in shards of about shard_rows records; a label of few records in each shard is still shared out as
-    the shares ask, see ``staircase``. The number of labels is bounded by max_labels (checked).
+    the shares ask, see ``due``. The number of labels is bounded by max_labels (checked).
     """
     names, total_share = list(shares), sum(shares.values())
     share = np.array([shares[n] / total_share for n in names])
@@ -192,7 +194,7 @@ def grouped_splits(rows: DataFrame, component: str, label: str, shares: dict[str
         b = b[~head].sort_values("component", ignore_index=True)
         m = counts(b["v"].tolist())
         here = np.flatnonzero(m.sum(axis=0) > 0)
-        w = staircase(before[here], m[:, here].sum(axis=0), part[:, here])
+        w = due(before[here], m[:, here].sum(axis=0), part[:, here])
         s = place(m[:, here], w, w.sum(axis=1), np.random.default_rng([seed, int(key[0])]))
         return pd.DataFrame({"component": b["component"], "split": [names[i] for i in s]})
 
