@@ -34,12 +34,13 @@ def grid(left: DataFrame, right: DataFrame, block: int) -> tuple[DataFrame, Data
     return a, b.select(*[F.col(c).alias(c if c in ("rblock", "rpart") else f"r{c}") for c in b.columns])
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int = 1, metric: str = "cosine", block: int = 4096) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, k: int = 1, metric: str = "cosine", block: int = 4096, others: bool = False) -> DataFrame:
     """(id, neighbour, distance, rank): the k nearest rows of right for each row (id, vec) of left.
 
     The right side is cut into blocks of about ``block`` rows; each pairs a block with a partition of the
     left as two matrices and keeps k rows a left id, and the lists of the blocks are merged. No pair is
-    materialised as a row, and no side is broadcast. Null and empty vectors take no part.
+    materialised as a row, and no side is broadcast. Null and empty vectors take no part. others: a row is
+    no neighbour of the row with its own id.
     """
     dist = {"cosine": cosine, "euclid": euclid}[metric]
     ok = F.col("vec").isNotNull() & (F.size("vec") > 0)
@@ -51,6 +52,8 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 1, metric: str = "cosine
         if x.empty or y.empty:
             return pd.DataFrame([], columns=cols)
         d = dist(np.stack(x["vec"].to_numpy()).astype(float), np.stack(y["rvec"].to_numpy()).astype(float))
+        if others:
+            d[x["id"].to_numpy()[:, None] == y["rid"].to_numpy()[None, :]] = np.inf
         r = np.round(d, 12)
         if 4 * k < d.shape[1]:  # all within the k-th distance, ties included, are ordered; the others can't be among the k
             near = np.partition(r, k - 1, axis=1)[:, k - 1 : k]
@@ -60,7 +63,8 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 1, metric: str = "cosine
             pick = np.broadcast_to(np.arange(d.shape[1]), d.shape)
         rank = np.lexsort((y["rid"].to_numpy()[pick], np.take_along_axis(r, pick, axis=1)), axis=1)[:, :k]
         order = np.take_along_axis(pick, rank, axis=1)
-        return pd.DataFrame({"id": np.repeat(x["id"].to_numpy(), order.shape[1]), "neighbour": y["rid"].to_numpy()[order].ravel(), "distance": np.take_along_axis(d, order, axis=1).ravel()})
+        out = pd.DataFrame({"id": np.repeat(x["id"].to_numpy(), order.shape[1]), "neighbour": y["rid"].to_numpy()[order].ravel(), "distance": np.take_along_axis(d, order, axis=1).ravel()})
+        return out[np.isfinite(out["distance"])] if others else out
 
     kind, kind2 = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
     got = a.groupBy("part", "block").cogroup(b.groupBy("rpart", "rblock")).applyInPandas(run, f"id {kind}, neighbour {kind2}, distance double")
@@ -68,8 +72,10 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 1, metric: str = "cosine
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.round("distance", 12), "neighbour")))
 
 
-def within(left: DataFrame, right: DataFrame, radius: str = "r", metric: str = "euclid", block: int = 4096) -> DataFrame:
-    """(id, hits): for each row (id, vec) of left the rows (id, vec, radius) of right whose radius exceeds the distance."""
+def within(left: DataFrame, right: DataFrame, radius: str = "r", metric: str = "euclid", block: int = 4096, others: bool = False) -> DataFrame:
+    """(id, hits): for each row (id, vec) of left the rows (id, vec, radius) of right whose radius exceeds the distance.
+
+    others: a row is no hit of the row with its own id."""
     dist = {"cosine": cosine, "euclid": euclid}[metric]
     a, b = grid(left.select("id", "vec"), right.select("id", "vec", F.col(radius).alias("r")), block)
 
@@ -77,7 +83,10 @@ def within(left: DataFrame, right: DataFrame, radius: str = "r", metric: str = "
         if x.empty or y.empty:
             return pd.DataFrame([], columns=["id", "hits"])
         d = dist(np.stack(x["vec"].to_numpy()).astype(float), np.stack(y["rvec"].to_numpy()).astype(float))
-        return pd.DataFrame({"id": x["id"], "hits": (d < y["rr"].to_numpy()[None, :] - 1e-9).sum(axis=1)})
+        hit = d < y["rr"].to_numpy()[None, :] - 1e-9
+        if others:
+            hit &= x["id"].to_numpy()[:, None] != y["rid"].to_numpy()[None, :]
+        return pd.DataFrame({"id": x["id"], "hits": hit.sum(axis=1)})
 
     got = a.groupBy("part", "block").cogroup(b.groupBy("rpart", "rblock")).applyInPandas(run, f"id {left.schema['id'].dataType.simpleString()}, hits long")
     return got.groupBy("id").agg(F.sum("hits").alias("hits"))

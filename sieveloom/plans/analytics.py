@@ -36,9 +36,11 @@ def nn(s, d):
     return one(1).unionByName(one(2))
 
 
-@op("jn_knn", "emb", "SELECT id, neighbour, rank FROM (SELECT a.id, b.id AS neighbour, CAST(row_number() OVER (PARTITION BY a.id ORDER BY round(1 - list_cosine_similarity(a.vec, b.vec), 9), b.id) AS INT) AS rank FROM emb a JOIN emb b ON a.arm = 0 AND b.arm = 1) WHERE rank <= 3")
+@op("jn_knn", "emb", "SELECT id, neighbour, rank FROM (SELECT a.id, b.id AS neighbour, CAST(row_number() OVER (PARTITION BY a.id ORDER BY round(1 - list_cosine_similarity(a.vec, b.vec), 9), b.id) AS INT) AS rank FROM emb a JOIN emb b ON a.id % 50 = 0 AND a.id <> b.id) WHERE rank <= 3")
 def _(s, d):
-    return V.nearest(emb(s, d, 0), emb(s, d, 1), k=3).select("id", "neighbour", "rank")
+    """A search: the rows with an id divisible by 50 against all other rows."""
+    e = emb(s, d)
+    return V.nearest(e.where("id % 50 = 0"), e, k=3, others=True).select("id", "neighbour", "rank")
 
 
 @op("emb_min_dist", "emb nn", "SELECT id, arm, round(d, 6) AS d FROM nn")
@@ -54,9 +56,11 @@ def _(s, d):
     return x.crossJoin(F.broadcast(grid)).groupBy("arm").agg(F.round(F.avg(hit), 6).alias("auc"))  # nine radii
 
 
-@op("jn_radius", "emb", "SELECT a.id, count(*) FILTER (WHERE sqrt(list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) < 1.3) AS hits FROM emb a JOIN emb b ON a.arm = 0 AND b.arm = 1 GROUP BY a.id")
+@op("jn_radius", "emb", "SELECT a.id, count(*) FILTER (WHERE sqrt(list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) < 1.3) AS hits FROM emb a JOIN emb b ON a.id % 50 = 0 AND a.id <> b.id GROUP BY a.id")
 def _(s, d):
-    return V.within(emb(s, d, 0), emb(s, d, 1).withColumn("r", F.lit(1.3)))
+    """A search, as jn_knn."""
+    e = emb(s, d)
+    return V.within(e.where("id % 50 = 0"), e.withColumn("r", F.lit(1.3)), others=True)
 
 
 @op("emb_diversity", "emb", "SELECT a.arm, round(avg(1 - list_cosine_similarity(a.vec, b.vec)), 6) AS mean_distance FROM emb a JOIN emb b ON a.arm = b.arm AND a.id < b.id GROUP BY a.arm")

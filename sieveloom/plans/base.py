@@ -18,6 +18,11 @@ CONTEXT = ["local_variance", "edge_density", "texture_entropy", "frequency_energ
 _NUM = "[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?"
 
 
+#: Spellings of image_type by meaning, without case and blanks around; fixed values.
+GOOD = ["good", "ok", "normal", "pass"]
+DEFECT = ["defect", "ng", "bad", "anomaly", "fail"]
+
+
 def latest(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """The delivery of each key loaded last."""
     body = F.struct(F.col("loaded_at"), F.struct(*columns).alias("b"))
@@ -32,7 +37,7 @@ def morph(spark: SparkSession, d: str) -> DataFrame:
 
 def patch(spark: SparkSession, d: str) -> DataFrame:
     """One row a patch; redeliveries carry the same values, should they differ the largest counts."""
-    kind = F.when(F.lower(F.trim("image_type")).isin("good", "ok", "normal"), "good").when(F.lower(F.trim("image_type")).isin("defect", "ng"), "defect")
+    kind = F.when(F.lower(F.trim("image_type")).isin(GOOD), "good").when(F.lower(F.trim("image_type")).isin(DEFECT), "defect")
     df = read(spark, d, "context_features").select("image_id", "patch_xy", kind.alias("kind"), *[number(c).alias(c) for c in CONTEXT], "image_w", "image_h")
     return df.groupBy("image_id", "patch_xy").agg(*[F.max(c).alias(c) for c in ["kind", *CONTEXT, "image_w", "image_h"]])
 
@@ -50,7 +55,7 @@ def num(c: str) -> str:
 
 CTE = {
     "morph": "SELECT morph_id, image_id, image_path, defect_type, domain, mask_source, defect_bbox, defect_mask_path, " + ", ".join(f"{num(c)} AS {c}" for c in [*MORPH, "area"]) + " FROM (SELECT *, row_number() OVER (PARTITION BY morph_id ORDER BY loaded_at DESC) AS rn FROM morphology_features WHERE morph_id IS NOT NULL) WHERE rn = 1",
-    "patch": "SELECT image_id, patch_xy, max(CASE WHEN lower(trim(image_type)) IN ('good', 'ok', 'normal') THEN 'good' WHEN lower(trim(image_type)) IN ('defect', 'ng') THEN 'defect' END) AS kind, " + ", ".join(f"max({num(c)}) AS {c}" for c in CONTEXT) + ", max(image_w) AS image_w, max(image_h) AS image_h FROM context_features GROUP BY image_id, patch_xy",
+    "patch": "SELECT image_id, patch_xy, max(CASE WHEN lower(trim(image_type)) IN " + str(tuple(GOOD)) + " THEN 'good' WHEN lower(trim(image_type)) IN " + str(tuple(DEFECT)) + " THEN 'defect' END) AS kind, " + ", ".join(f"max({num(c)}) AS {c}" for c in CONTEXT) + ", max(image_w) AS image_w, max(image_h) AS image_h FROM context_features GROUP BY image_id, patch_xy",
     "cand": "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY loaded_at DESC) AS rn FROM roi_candidates WHERE row_id IS NOT NULL) WHERE rn = 1",
 }
 

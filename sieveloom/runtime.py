@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,10 +66,11 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table in the shared folder, which survives the loss of executors.
 
     Parquet keeps it a fraction of a checkpoint's size and lets later reads prune columns and rows. The
-    files go when the driver's JVM ends.
+    files go when the driver's JVM ends, or at the end of a ``scratch`` block.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sieveloom-{uuid.uuid4().hex}"
+    _TABLES.append(path)
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -75,6 +78,23 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_TABLES: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made within the block are removed at its end, so a long session doesn't fill the shared
+    folder. Results must have been written or collected by then."""
+    first = len(_TABLES)
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        while len(_TABLES) > first:
+            at = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+            at.getFileSystem(conf).delete(at, True)
+
+
 def at_most(df: DataFrame, bound: int) -> bool:
     """Whether df has no more than ``bound`` rows, without counting beyond the bound."""
     return df.limit(bound + 1).count() <= bound

@@ -169,3 +169,27 @@ def test_netpbm_quality_and_gram():
 def test_array_expressions(spark):
     r = spark.range(1).select(K.tile_origins(F.lit(300), 128, 96).alias("t"), K.tile_origins(F.lit(50), 128, 96).alias("u"), K.crop(F.sequence(F.lit(0), F.lit(11)), F.lit(4), F.lit(1), F.lit(1), F.lit(2), F.lit(2)).alias("c"), K.composite(F.array(F.lit(10)), F.array(F.lit(20)), F.array(F.lit(0.5))).alias("m")).first()
     assert (r["t"], r["u"], r["c"], r["m"]) == ([0, 96, 172], [0], [5, 6, 9, 10], [15])
+
+
+def test_scratch_removes_what_was_made_within(spark, tmp_path):
+    import glob
+
+    from sieveloom.runtime import materialize, scratch, shared_dir
+
+    here = lambda: set(glob.glob(shared_dir(spark).removeprefix("file:") + "/sieveloom-*"))
+    kept = materialize(spark.range(3))
+    before = here()
+    with scratch(spark):
+        assert materialize(spark.range(5)).count() == 5 and len(here()) == len(before) + 1
+    assert here() == before and kept.count() == 3
+
+
+def test_searches_leave_the_row_itself_out(spark):
+    from sieveloom.operators import similarity as V
+
+    rows = [(i, [1.0, float(i % 3)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    got = V.nearest(df.where("id < 4"), df, k=2, metric="euclid", block=15, others=True).orderBy("id", "rank").collect()
+    assert [(r["id"], r["neighbour"]) for r in got] == [(0, 3), (0, 6), (1, 4), (1, 7), (2, 5), (2, 8), (3, 0), (3, 6)]
+    hits = V.within(df.where("id < 2"), df.selectExpr("*", "0.5D as r"), block=15, others=True).collect()
+    assert {r["id"]: r["hits"] for r in hits} == {0: 13, 1: 12}
