@@ -11,6 +11,7 @@ from sieveloom.functions.parse import number
 from sieveloom.llm import capping, clusters, contamination, encode, graph, language, quantiles, splits, topn
 from sieveloom.llm import records as R
 from sieveloom.llm.sampling import BalancedSample, balanced_sample
+from sieveloom.plans.base import DEFECT, GOOD
 from sieveloom.runtime import materialize, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,9 +44,6 @@ def p1_sample(spark: SparkSession, d: str) -> DataFrame:
     return _p1(spark, d).decided.where("selected").select(F.col("id").alias("row_id"), "class_key", "cluster_id")
 
 
-#: Spellings of image_type by meaning; fixed values.
-GOOD = ["good", "ok", "normal", "pass"]
-DEFECT = ["defect", "ng", "bad", "anomaly", "fail"]
 METRICS = ["local_variance", "texture_entropy"]
 PERCENTILES = [0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]
 #: A local binary pattern histogram has ten bins; an entropy above log2(10) is impossible.
