@@ -200,10 +200,16 @@ def _(s, d):
     return morph(s, d).where("image_id is not null").select("morph_id", S.type_from_seed("image_id").alias("kind"))
 
 
-@op("prj_class_id", "", "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN CAST(user_id AS INT) ELSE 1 END AS class_id FROM events")
-def _(s, d):
-    key = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("class"), F.col("user_id").cast("string"))).otherwise(F.col("event_type"))
-    return read(s, d, "events").select("event_id", S.class_number(key).alias("class_id"))
+@op("prj_class_id", "cand", """SELECT row_id, CASE WHEN regexp_matches(key, '^class[0-9]+$') THEN CAST(substr(key, 6) AS INT) ELSE 1 END AS by_key,
+  coalesce(TRY_CAST(nullif(regexp_extract(name, '_class([0-9]+)', 1), '') AS INT), 1) AS by_name, nullif(regexp_extract(image_path, '/test/([^/]+)/', 1), '') AS by_path
+  FROM (SELECT row_id, image_path, CASE WHEN cluster_id % 2 = 0 THEN 'class' || cluster_id ELSE class_key END AS key, image_id || CASE WHEN cluster_id % 3 > 0 THEN '_class' || cluster_id || '_' || row_id ELSE '' END AS name FROM cand)""")
+def _(s, d):
+    """The number of a class by its key, by the name of a file and, as a word, by the path; without one the first class."""
+    c, k = cand(s, d), F.col("cluster_id")
+    key = F.when(k % 2 == 0, F.concat(F.lit("class"), k.cast("string"))).otherwise(F.col("class_key"))
+    name = F.concat("image_id", F.when(k % 3 > 0, F.concat(F.lit("_class"), k.cast("string"), F.lit("_"), F.col("row_id").cast("string"))).otherwise(F.lit("")))
+    kind = F.regexp_extract("image_path", "/test/([^/]+)/", 1)
+    return c.select("row_id", F.coalesce(S.class_number(key), F.lit(1)).alias("by_key"), F.coalesce(F.regexp_extract(name, "_class([0-9]+)", 1).try_cast("int"), F.lit(1)).alias("by_name"), F.when(kind != "", kind).alias("by_path"))
 
 
 @op("prj_path_remap", "morph", "SELECT morph_id, regexp_replace(image_path, '^/mnt/vault/img/', '/data/') AS path FROM morph")

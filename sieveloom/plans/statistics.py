@@ -357,14 +357,17 @@ def _(s, d):
     return df.agg(F.count_distinct("source").alias("sources"), F.count_distinct("image_id").alias("images")).crossJoin(most)
 
 
+#: The t value of a 95 % interval by number of values; fixed values. Beyond them it follows from the normal one by an expansion in 1 / (n - 1).
 _T = {2: 12.706, 3: 4.303, 4: 3.182, 5: 2.776, 6: 2.571, 7: 2.447, 8: 2.365, 9: 2.306, 10: 2.262}
-_TQ = "CASE n " + " ".join(f"WHEN {k} THEN {v}" for k, v in _T.items()) + " ELSE 1.96 END"
+_Z = 1.959963984540054
+_EXPANSION = [_Z, (_Z**3 + _Z) / 4, (5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96, (3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384]
+_TQ = "CASE n " + " ".join(f"WHEN {k} THEN {v}" for k, v in _T.items()) + f" ELSE {' + '.join(f'{c!r}::DOUBLE / (n - 1) ** {i}' for i, c in enumerate(_EXPANSION))} END"
 
 
 @op("agg_seed_stats", "", f"SELECT user_id, event_type, n, round(m, 8) AS mean, round(sd, 5) AS std, round(CASE WHEN n < 2 THEN m ELSE m - {_TQ} * sd / sqrt(n) END, 4) AS lo, round(CASE WHEN n < 2 THEN m ELSE m + {_TQ} * sd / sqrt(n) END, 4) AS hi FROM (SELECT user_id, event_type, count(value) AS n, avg(value) AS m, coalesce(stddev_samp(value), 0) AS sd FROM events WHERE value IS NOT NULL GROUP BY user_id, event_type)")
 def _(s, d):
     g = read(s, d, "events").where("value is not null").groupBy("user_id", "event_type").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"))
-    t = F.lit(1.96)
+    t = sum((F.lit(c) / F.pow(F.col("n") - 1, F.lit(float(i))) for i, c in enumerate(_EXPANSION)), F.lit(0.0))
     for k, v in _T.items():
         t = F.when(F.col("n") == k, v).otherwise(t)
     half = F.when(F.col("n") < 2, S.lit(0)).otherwise(t * F.col("sd") / F.sqrt("n"))
