@@ -3,9 +3,10 @@
 A record becomes a set of tokens: per feature the cells of several grids shifted against each other.
 Two sets share the more tokens the closer the records are, so their Jaccard similarity falls with the
 sum of the scaled differences. Records with one token set form a class; a class is one lattice cell,
-so there are no more classes than cells however many records there are. MinHash bands propose pairs
-of classes, exact Jaccard verifies them, classes with too few records around them drop out, connected
-components form groups, and a loose group is split around its medoids of highest degree.
+so there are no more classes than cells however many records there are. A similarity bounds the steps
+between two classes, so all pairs that meet it are looked up in blocks of the lattice. Classes with too
+few records around them drop out, connected components form groups, and a loose group is split around
+its medoids of highest degree.
 """
 
 from __future__ import annotations
@@ -33,9 +34,6 @@ class Grid:
         return F.array(*[F.floor(F.col(f) / F.lit(w / self.shifts)).cast("int") for f, w in zip(features, self.width)])
 
 
-BANDS, ROWS = 24, 3
-
-
 def tokens(cells: np.ndarray, shifts: int) -> np.ndarray:
     """Token numbers, one row a record: feature, grid and interval in one integer."""
     s = np.arange(shifts)
@@ -44,21 +42,67 @@ def tokens(cells: np.ndarray, shifts: int) -> np.ndarray:
     return ((interval + (1 << 20)) * 64 + feature * shifts + s[None, None, :]).reshape(len(cells), -1)
 
 
-def signatures(tok: np.ndarray, bands: int = BANDS, rows: int = ROWS, seed: int = 11) -> np.ndarray:
-    """MinHash values of sets of equal size, combined to one number a band."""
-    rng = np.random.default_rng(seed)
-    mul = (rng.integers(1, 2**62, bands * rows, dtype=np.int64) * 2 + 1).astype(np.uint64)
-    add = rng.integers(0, 2**62, bands * rows, dtype=np.int64).astype(np.uint64)
-    x = tok.astype(np.uint64)
-    out = np.zeros((len(tok), bands), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(bands * rows):
-            h = (x + add[j]) * mul[j]
-            h ^= h >> np.uint64(31)
-            h *= np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-            out[:, j // rows] = out[:, j // rows] * np.uint64(1_000_003) + h.min(axis=1)
-    return out.astype(np.int64)
+def ball(features: int, reach: int) -> np.ndarray:
+    """All steps from a cell to others with a sum of up to ``reach``, one row each."""
+    out, left = np.zeros((1, 0), dtype=np.int64), np.array([reach])
+    step = np.arange(-reach, reach + 1)
+    for _ in range(features):
+        i, k = np.nonzero(np.abs(step)[None, :] <= left[:, None])
+        out, left = np.c_[out[i], step[k]], left[i] - np.abs(step[k])
+    return out[out.any(axis=1)]
+
+
+def links_within(classes: DataFrame, features: int, shifts: int, similarity: float, piece: int = 2_000) -> DataFrame:
+    """(a, b, na, nb, j): all pairs a < b of classes (class, cells, n) with a similarity j of at least ``similarity``.
+
+    The lattice is cut into blocks twice as wide as the steps a pair may be apart. A class lives in its block and
+    visits the preceding blocks within reach, so each pair meets in one block; there the cells around a class are
+    looked up in the sorted cells of the block. piece: classes looked up at once.
+    """
+    all_ = features * shifts
+    reach = max((d for d in range(shifts) if (all_ - d) / (all_ + d) >= similarity), default=0)
+    side, around = max(1, 2 * reach), ball(features, reach)
+    if (3 * side + 1) ** features >= 2**62:
+        raise ValueError("too many features for a cell to be one number")
+
+    def visits(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            cells = np.stack(b["cells"].to_numpy()).astype(np.int64)
+            home, at = cells // side, cells % side
+            row, block, left, own = np.arange(len(b)), np.zeros((len(b), 0), dtype=np.int64), np.full(len(b), reach), np.ones(len(b), dtype=bool)
+            for f in range(features):
+                cost = np.c_[at[row, f] + 1, np.zeros(len(row), dtype=np.int64), side - at[row, f]]
+                cost[own, 2] = reach + 1  # of two blocks the preceding one is visited
+                i, k = np.nonzero(cost <= left[:, None])
+                block, left, own, row = np.c_[block[i], home[row[i], f] + k - 1], left[i] - cost[i, k], own[i] & (k == 1), row[i]
+            out = b.iloc[row].assign(own=own)
+            yield out.assign(block=list(block))[["block", "own", "class", "cells", "n"]]
+
+    def look(x: pd.DataFrame) -> pd.DataFrame:
+        cells, name, n = np.stack(x["cells"].to_numpy()).astype(np.int64), x["class"].to_numpy(), x["n"].to_numpy()
+        own, found = x["own"].to_numpy(), []
+        cells = cells - cells.min(axis=0) + reach
+        radix = np.r_[1, np.cumprod(cells.max(axis=0) + reach + 1)[:-1]]
+        code = cells @ radix
+        order = np.argsort(code)
+        code, delta, mine = code[order], around @ radix, np.nonzero(own[order])[0]
+        for at in range(0, len(mine), piece):
+            i = mine[at : at + piece]
+            want = code[i][:, None] + delta[None, :]
+            j = np.minimum(np.searchsorted(code, want), len(code) - 1)
+            r, k = np.nonzero(code[j] == want)
+            u, v = order[i[r]], order[j[r, k]]
+            once = ~own[v] | (name[u] < name[v])
+            found.append(np.c_[u, v, np.abs(around[k]).sum(axis=1)][once])
+        u, v, d = np.concatenate(found).T if found else np.zeros((3, 0), dtype=np.int64)
+        u, v = np.where(name[u] < name[v], u, v), np.where(name[u] < name[v], v, u)
+        return pd.DataFrame({"a": name[u], "b": name[v], "na": n[u], "nb": n[v], "j": (all_ - d) / (all_ + d)})
+
+    near = classes.select("class", "cells", "n").mapInPandas(visits, "block array<int>, own boolean, class long, cells array<int>, n long")
+    near = near.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")  # few bytes, much work
+    return near.groupBy("block").applyInPandas(look, "a long, b long, na long, nb long, j double")
 
 
 def cluster(df: DataFrame, record_id: str, features: Sequence[str], grid: Grid, *, similarity: float = 0.65, density: float = 0.0003, min_share: float = 0.006, loose: float = 0.35, tolerated: float = 0.05, piece: int = 2_000) -> DataFrame:
@@ -67,8 +111,8 @@ def cluster(df: DataFrame, record_id: str, features: Sequence[str], grid: Grid,
     density: share of all records that must lie within the similarity of a class, itself included (three
     at least). min_share: smallest cluster as a share of all records of df. loose, tolerated: a
     component is loose when more than ``tolerated`` of its records are less than ``loose`` similar to its
-    medoid; it is then split around the medoid, and the rest again, until none is loose. piece: classes of
-    a MinHash bucket that meet the bucket in one task.
+    medoid; it is then split around the medoid, and the rest again, until none is loose. piece: classes whose
+    neighbours are looked up at once.
 
     With F features, records apart in one feature but equal in the others are (F - 1) / (F + 1) similar,
     so ``similarity`` must be above that.
@@ -88,26 +132,9 @@ def cluster(df: DataFrame, record_id: str, features: Sequence[str], grid: Grid,
     rows = materialize(rows.select("id", grid.cells(features).alias("cells")))
     least = max(3, int(np.ceil(density * total)))
     floor_ = max(least, int(np.ceil(min_share * total)))
-    classes = rows.groupBy("cells").agg(F.count("*").alias("n"), F.min("id").alias("class"))
+    classes = materialize(rows.groupBy("cells").agg(F.count("*").alias("n"), F.min("id").alias("class")))
     s = grid.shifts
-
-    @F.pandas_udf("array<long>")
-    def shingle(c: pd.Series) -> pd.Series:
-        return pd.Series(list(signatures(tokens(np.stack(c.to_numpy()).astype(np.int64), s))))
-
-    classes = materialize(classes.withColumn("sig", shingle("cells")))
-    bands = classes.select("class", "cells", "n", F.posexplode("sig").alias("band", "key"))
-    bucket = bands.groupBy("band", "key").agg(F.sum("n").alias("w"), F.count("*").alias("c"))
-    # records around a class all share a bucket with it: too few there, and it can't be dense
-    bands = bands.join(bucket, ["band", "key"])
-    near = bands.groupBy("class").agg(F.sum("w").alias("most")).where(F.col("most") >= least)
-    # a bucket of many classes is cut into pieces, each of which meets the whole bucket in a task of its own
-    alive = bands.join(near.select("class"), "class", "left_semi").withColumn("pieces", F.ceil(F.col("c") / piece).cast("int")).drop("w", "c")
-    alive = materialize(alive)
-    left = alive.select("band", "key", F.pmod(F.xxhash64("class"), F.col("pieces")).cast("int").alias("piece"), F.col("class").alias("a"), F.col("cells").alias("ca"), F.col("n").alias("na"))
-    right = alive.select("band", "key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("class").alias("b"), F.col("cells").alias("cb"), F.col("n").alias("nb"))
-    pairs = left.join(right, ["band", "key", "piece"]).where("a < b").withColumn("j", _similarity("ca", "cb", s))
-    links = materialize(pairs.where(F.col("j") >= similarity).select("a", "b", "na", "nb", "j").distinct())  # found once a band in common
+    links = materialize(links_within(classes, len(features), s, similarity, piece))
     degree = links.select(F.col("a").alias("class"), F.col("nb").alias("w")).unionByName(links.select(F.col("b").alias("class"), F.col("na").alias("w"))).groupBy("class").agg(F.sum("w").alias("w"))
     dense = classes.join(degree, "class", "left").withColumn("degree", F.col("n") + F.coalesce("w", F.lit(0))).where(F.col("degree") >= least)
     dense = materialize(dense.select("class", "cells", "n", "degree"))

@@ -121,6 +121,32 @@ def test_buckets_in_pieces_give_the_same_clusters(spark):
     assert key(one) == key(many)
 
 
+def test_a_pair_without_a_common_minhash_band_is_a_link(spark):
+    """Four steps apart are 16 of 24 tokens; MinHash had no band in common for these cells."""
+    at = lambda c: [(x + 0.5) * w / 5 for x, w in zip(c, GRID.width)]
+    rows = [(0, *at([24, 9, 3, 10])), (1, *at([24, 9, 3, 10])), (2, *at([25, 10, 4, 11])), (3, *at([25, 10, 4, 16]))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double")
+    assert {r["id"]: r["degree"] for r in C.cluster(df, "id", FEATURES, GRID).collect()} == {0: 3, 1: 3, 2: 3}
+
+
+@pytest.mark.parametrize("features, similarity", [(4, 0.65), (4, 0.95), (2, 0.5), (3, 1.0)])
+def test_links_match_brute_force_across_blocks(spark, features, similarity):
+    rng = np.random.default_rng(6)
+    cells = np.unique(rng.integers(-7, 12 if features < 4 else 4, (500, features)), axis=0).tolist()
+    df = spark.createDataFrame([(i, c, 1 + i % 3) for i, c in enumerate(cells)], "class long, cells array<int>, n long")
+    t, want = C.tokens(np.array(cells), 5), {}
+    for i, x in enumerate(t):
+        for k, y in enumerate(t[:i]):
+            both = len(set(x) & set(y))
+            if both / (2 * len(x) - both) >= similarity:
+                want[k, i] = (1 + k % 3, 1 + i % 3, both / (2 * len(x) - both))
+    for piece in (7, 2_000):
+        got = C.links_within(df, features, 5, similarity, piece).collect()
+        assert len(got) == len(want) and {(r["a"], r["b"]): (r["na"], r["nb"], r["j"]) for r in got} == want
+    assert want or similarity > 0.9
+    assert C.links_within(df.limit(0), features, 5, similarity).count() == 0
+
+
 # ---- photographs and splits ---------------------------------------------------------------------
 
 NAMES = {
