@@ -394,7 +394,8 @@ def _(s, d):
 
 def images(s, d):
     """A 16 by 16 image of stripes, noise and a blob for each record, made by expressions."""
-    m = read(s, d, "morphology_features").select("morph_id").distinct()
+    n = int(s.conf.get("spark.sql.shuffle.partitions"))  # ids are few bytes, but their images much work
+    m = read(s, d, "morphology_features").select("morph_id").repartition(n, "morph_id").distinct()
     px = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: ((i % 16 * (F.col("morph_id") % 7 + 1) * 9 + i * i * (F.col("morph_id") % 5)) % 200 + F.when((i % 16).between(4, 9) & F.floor(i / 16).between(5, 10), 55).otherwise(0)).cast("int"))
     return m.select("morph_id", F.lit(16).alias("h"), F.lit(16).alias("w"), px.alias("pixels"))
 

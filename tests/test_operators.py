@@ -127,6 +127,19 @@ def test_silhouette_matches_definition(spark):
     assert P.silhouette(df.where("label = 0"), ["a", "b"], "label").first()[0] == 0
 
 
+def test_cell_classes_of_many_images_are_those_of_each_cell():
+    rng, images = np.random.default_rng(8), []
+    for i in range(60):
+        h, w = rng.integers(1, 40, 2)
+        y, x = np.ogrid[:h, :w]
+        noise = rng.integers(0, [1, 20, 256][i % 3], (h, w))
+        images.append(((x * (i % 7) * 9 + y * (i % 5) * 13 + noise) % 256).astype(np.uint8))
+    images += [np.uint8([[0, 20] * 4, [20, 0] * 4] * 4), np.zeros((16, 8), dtype=np.uint8)]  # a variance of just 100
+    for size in (8, 12):
+        want = [[K.background_class(g[y : y + size, x : x + size]) for y in range(0, g.shape[0] - size + 1, size) for x in range(0, g.shape[1] - size + 1, size)] for g in images]
+        assert K.cell_classes(images, size) == want and len({c for r in want for c in r}) > 3
+
+
 def test_kernels_on_known_images():
     flat = np.full((16, 16), 80, dtype=np.uint8)
     assert K.background_class(flat) == "smooth"
