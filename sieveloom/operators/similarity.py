@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,44 +96,118 @@ def within(left: DataFrame, right: DataFrame, radius: str = "r", metric: str = "
     return got.groupBy("id").agg(F.sum("hits").alias("hits"))
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """Histograms in rows (id, cell_key, p) as one row (id, cells, ps) each; rows with a null take no part."""
+    ok = "id is not null and cell_key is not null and p is not null"
+    return df.where(ok).groupBy("id").agg(F.collect_list("cell_key").alias("cells"), F.collect_list("p").alias("ps"))  # as many entries as the grid has cells
+
+
+def fit_rows(x: pa.Table, y: pa.Table, chunk: int = 16_384, held: int = 4_000_000) -> Iterator[tuple[int, np.ndarray]]:
+    """(first, fits): the fits of rows of x from ``first`` on with all rows of y, packed histograms both (id, cells, ps).
+
+    At most about ``held`` fits are held at once. For chunks of y each cell has the list of its rows and shares; a row
+    of x adds up the lists of its own cells, so cells that only one of two histograms has cost nothing.
+    """
+
+    def flat(t: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        _, cells, ps = (c.combine_chunks() for c in t.columns)
+        return np.repeat(np.arange(len(t), dtype=np.int32), pc.list_value_length(cells).to_numpy()), pc.cast(cells.flatten(), pa.string()), ps.flatten().to_numpy()
+
+    (xrow, xcell, xp), (yrow, ycell, yp) = flat(x), flat(y)
+    names = pa.array(sorted(set(xcell.unique().to_pylist()) & set(ycell.unique().to_pylist())), pa.string())
+    code = lambda c: pc.fill_null(pc.index_in(c, names), len(names)).to_numpy()
+    xcode, ycode = code(xcell), code(ycell)
+    lists = []
+    for at in range(0, len(y), chunk):
+        i, j = np.searchsorted(yrow, [at, at + chunk])
+        order = i + np.argsort(ycode[i:j], kind="stable")
+        cut = np.searchsorted(ycode[order], np.arange(len(names) + 1)).tolist()
+        lists.append((at, min(chunk, len(y) - at), yrow[order] - at, yp[order], cut))
+    order = np.lexsort((xcode, xrow))
+    order = order[xcode[order] < len(names)]
+    ends = np.searchsorted(xrow[order], np.arange(len(x) + 1))
+    mine = [list(zip(xcode[order[i:j]].tolist(), xp[order[i:j]].tolist())) for i, j in zip(ends, ends[1:])]
+    step = max(1, held // max(1, len(y)))
+    for first in range(0, len(x), step):
+        some = mine[first : first + step]
+        fits = np.zeros((len(some), len(y)))
+        for at, width, row, share, cut in lists:
+            for f, own in zip(fits, some):
+                if own:
+                    j = np.concatenate([row[cut[c] : cut[c + 1]] for c, _ in own])
+                    f[at : at + width] = np.bincount(j, np.concatenate([np.minimum(share[cut[c] : cut[c + 1]], p) for c, p in own]), width)
+        yield first, fits
+
+
 def histogram_fits(left: DataFrame, right: DataFrame, k: int | None = None, zeros: bool = False, block: int = 1024) -> DataFrame:
     """(id, rid, fit): the sum over common cells of the smaller share, for histograms in rows (id, cell_key, p).
 
-    Histograms are paired in blocks; in a block each cell adds the outer minimum of the shares of the
-    images that have it, so only pairs that are asked for become rows. k: the k best of each left id, fits
-    compared to nine digits, then by rid; zeros: pairs without a common cell come out too, with 0, which k
-    never does. Rows with a null id, cell or share take no part; an empty side gives no rows.
+    Histograms are paired in blocks; in a block each cell adds the smaller shares of the images that have it, so
+    only pairs that are asked for become rows. k: the k best of each left id, fits compared to nine digits, then by
+    rid; zeros: pairs without a common cell come out too, with 0, which k never does. Rows with a null id, cell or
+    share take no part; an empty side gives no rows.
     """
-    ok = "id is not null and cell_key is not null and p is not null"
-    pack = lambda df: df.where(ok).groupBy("id").agg(F.collect_list("cell_key").alias("cells"), F.collect_list("p").alias("ps"))  # noqa: E731  as many entries as the grid has cells
-    a, b = grid(materialize(pack(left)), materialize(pack(right)), block)
+    a, b = grid(materialize(packed(left)), materialize(packed(right)), block)
+    kind = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
 
-    def table(ids: pd.Series, cells: pd.Series, ps: pd.Series) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-        row = np.repeat(np.arange(len(ids)), [len(c) for c in cells])
-        names, code = np.unique(np.concatenate(cells.tolist()).astype(str), return_inverse=True)
-        p, order = np.concatenate(ps.tolist()), np.argsort(code, kind="stable")
-        cut = np.searchsorted(code[order], np.arange(len(names) + 1))
-        return {n: (row[order[i:j]], p[order[i:j]]) for n, i, j in zip(names.tolist(), cut, cut[1:])}
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        x, y = x.select(["id", "cells", "ps"]), y.select(["rid", "rcells", "rps"]).sort_by("rid")
+        one, two, out = x["id"].combine_chunks(), y["rid"].combine_chunks(), []
+        for first, fit in fit_rows(x, y) if len(x) and len(y) else ():
+            if k:
+                best = np.argsort(-np.round(fit, 9), axis=1, kind="stable")[:, :k]
+                i, j = np.repeat(np.arange(len(fit)), best.shape[1]), best.ravel()
+                i, j = i[fit[i, j] > 0], j[fit[i, j] > 0]
+            else:
+                i, j = np.nonzero(np.ones_like(fit) if zeros else fit)
+            out.append(pa.table({"id": one.take(pa.array(first + i)), "rid": two.take(pa.array(j)), "fit": fit[i, j]}))
+        return pa.concat_tables(out) if out else pa.table({"id": one[:0], "rid": two[:0], "fit": pa.array([], pa.float64())})
+
+    got = a.groupBy("part", "block").cogroup(b.groupBy("rpart", "rblock")).applyInArrow(run, f"id {kind[0]}, rid {kind[1]}, fit double")
+    return top_per_group(got, ["id"], [F.round("fit", 9).desc(), F.col("rid")], k) if k else got
 
-    def run(_, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame([], columns=["id", "rid", "fit"])
-        y = y.sort_values("rid", ignore_index=True)
-        one, two, fit = table(x["id"], x["cells"], x["ps"]), table(y["rid"], y["rcells"], y["rps"]), np.zeros((len(x), len(y)))
-        for c in sorted(set(one) & set(two)):
-            (i, p), (j, q) = one[c], two[c]
-            fit[np.ix_(i, j)] += np.minimum.outer(p, q)
-        if k:
-            best = np.argsort(-np.round(fit, 9), axis=1, kind="stable")[:, :k]
-            i, j = np.repeat(np.arange(len(x)), best.shape[1]), best.ravel()
-            i, j = i[fit[i, j] > 0], j[fit[i, j] > 0]
-        else:
-            i, j = np.nonzero(np.ones_like(fit) if zeros else fit)
-        return pd.DataFrame({"id": x["id"].to_numpy()[i], "rid": y["rid"].to_numpy()[j], "fit": fit[i, j]})
 
+def fit_percentile(left: DataFrame, right: DataFrame, p: float, pairs: bool = False, block: int = 8192) -> DataFrame:
+    """(id, low, high, share, most): for each left id the fits on either side of the percentile p of its fits above 0,
+    the share of the way between them where it lies, and the largest; ids without a fit don't come out. pairs:
+    (id, rid, fit, cut), the pairs that reach the percentile, and those less than 1e-8 below it, so that the caller rounds.
+
+    A task holds the histograms of the whole right side and all fits of a few left rows, so no pair is written or moved
+    to find a percentile. The right side is sent once for each part of up to ``block`` left rows.
+    """
+    a, b = materialize(packed(left)), materialize(packed(right))
+    n = a.count()
+    parts = max(1, -(-n // block), min(left.sparkSession.sparkContext.defaultParallelism, -(-n // 512)))
+    a = a.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    b = b.select(F.col("id").alias("rid"), "cells", "ps", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("rpart"))
     kind = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
-    got = a.groupBy("part", "block").cogroup(b.groupBy("rpart", "rblock")).applyInPandas(run, f"id {kind[0]}, rid {kind[1]}, fit double")
-    return top_per_group(got, ["id"], [F.round("fit", 9).desc(), F.col("rid")], k) if k else got
+    names = ["id", "rid", "fit", "cut"] if pairs else ["id", "low", "high", "share", "most"]
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        x, y = x.select(["id", "cells", "ps"]), y.select(["rid", "cells", "ps"])
+        one, two, out = x["id"].combine_chunks(), y["rid"].combine_chunks(), []
+        for first, fits in fit_rows(x, y) if len(x) and len(y) else ():
+            none = len(y) - np.count_nonzero(fits, axis=1)
+            for i, (f, zeros) in enumerate(zip(fits, none.tolist()), first):
+                if zeros == len(f):
+                    continue
+                at = (len(f) - zeros - 1) * p
+                lower, share = zeros + int(at), at - int(at)
+                upper = min(lower + 1, len(f) - 1)
+                low, high = np.partition(f, [lower, upper])[[lower, upper]].tolist()
+                if pairs:
+                    cut = low if share == 0 else (1 - share) * low + share * high
+                    j = np.nonzero((f >= cut - 1e-8) & (f > 0))[0]
+                    out.append(pa.table([one.take(pa.array(np.full(len(j), i))), two.take(pa.array(j)), pa.array(f[j]), pa.array(np.full(len(j), cut))], names=names))
+                else:
+                    out.append((i, low, high, share, float(f.max())))
+        if pairs:
+            return pa.concat_tables(out) if out else pa.table([one[:0], two[:0], pa.array([], pa.float64()), pa.array([], pa.float64())], names=names)
+        got = list(zip(*out)) or [()] * 5
+        return pa.table([one.take(pa.array(got[0], pa.int64())), *[pa.array(c, pa.float64()) for c in got[1:]]], names=names)
+
+    schema = f"id {kind[0]}, rid {kind[1]}, fit double, cut double" if pairs else f"id {kind[0]}, low double, high double, share double, most double"
+    return a.groupBy("part").cogroup(b.groupBy("rpart")).applyInArrow(run, schema)
 
 
 def mean_vector(df: DataFrame, vec: str = "vec") -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +46,46 @@ def test_histogram_fits_match_brute_force(spark):
     assert V.histogram_fits(table(a).limit(0), table(b)).count() == 0
 
 
+def test_fit_percentiles_match_brute_force(spark):
+    rng = random.Random(9)
+    a, b = ({f"{n}{i}": {c: rng.randint(1, 4) / 8 for c in rng.sample("uvwxyz", 2)} for i in range(30)} for n in "lr")
+    a |= {"far": {"q": 1.0}}
+    table = lambda h: spark.createDataFrame([(i, c, p) for i, x in h.items() for c, p in x.items()] + [(None, "u", 0.1), ("n", None, 0.1), ("n", "u", None)], "id string, cell_key string, p double")
+    fits = {i: {j: f for j, y in b.items() if (f := sum(min(x[c], y[c]) for c in set(x) & set(y))) > 0} for i, x in a.items()}
+    for p in (0.5, 0.95, 1.0):
+        cut = {i: np.quantile(list(f.values()), p) for i, f in fits.items() if f}
+        for block in (4, 8192):
+            got = V.fit_percentile(table(a), table(b), p, block=block).collect()
+            assert {r["id"]: r["low"] * (1 - r["share"]) + r["high"] * r["share"] for r in got} == pytest.approx(cut) and "far" not in cut
+            assert {r["id"]: r["most"] for r in got} == pytest.approx({i: max(f.values()) for i, f in fits.items() if f})
+        got = V.fit_percentile(table(a), table(b), p, pairs=True).where("fit >= cut - 1e-9").collect()
+        assert sorted((r["id"], r["rid"]) for r in got) == sorted((i, j) for i, f in fits.items() for j, v in f.items() if v >= cut[i] - 1e-9)
+    assert V.fit_percentile(table(a).limit(0), table(b), 0.5).count() == V.fit_percentile(table(a), table(b).limit(0), 0.5, pairs=True).count() == 0
+
+
+@pytest.mark.parametrize("query", ["win_pool_p95"])
+def test_percentiles_of_fits_make_no_rows_of_all_pairs(spark, monkeypatch, query):
+    from sieveloom.plans import QUERIES, relational
+
+    made = []
+    monkeypatch.setattr(relational.V, "grid", lambda *a, f=relational.V.grid: made.append(a) or f(*a))  # pairs of blocks, whose rows are pairs
+    assert QUERIES[query](spark, "/root/testdata/sf0.001").count() and not made
+
+
+def test_fits_hold_few_rows_at_once():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    side = lambda n: pa.table({"id": list(range(n)), "cells": [[str(c) for c in rng.permutation(6)[:3]] for _ in range(n)], "ps": rng.random((n, 3)).tolist()})
+    x, y = side(11), side(29)
+    whole = [f for _, f in V.fit_rows(x, y)]
+    parts = list(V.fit_rows(x, y, chunk=7, held=60))
+    assert len(whole) == 1 and [i for i, _ in parts] == [0, 2, 4, 6, 8, 10] and max(f.size for _, f in parts) <= 60
+    assert np.array_equal(whole[0], np.concatenate([f for _, f in parts]))
+    h = lambda t, i: dict(zip(t["cells"][i].as_py(), t["ps"][i].as_py()))
+    assert whole[0] == pytest.approx(np.array([[sum(min(h(x, i)[c], h(y, j)[c]) for c in set(h(x, i)) & set(h(y, j))) for j in range(29)] for i in range(11)]))
+
+
 def test_nearest_keeps_ties_by_id(spark):
     rng = random.Random(5)
     left = spark.createDataFrame([(i, [rng.choice([0.0, 1.0]), 1.0]) for i in range(9)], "id long, vec array<double>")
