@@ -28,9 +28,10 @@ def euclid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d, 0))
 
 
-def grid(left: DataFrame, right: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides cut by hash into pieces of about ``block`` rows, each repeated for every piece of the other."""
-    blocks, parts = max(1, -(-right.count() // block)), max(1, -(-left.count() // block))
+def grid(left: DataFrame, right: DataFrame, block: int, shape: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides cut by hash into pieces of about ``block`` rows, or into the numbers of pieces of ``shape``, each
+    repeated for every piece of the other."""
+    parts, blocks = shape or (max(1, -(-left.count() // block)), max(1, -(-right.count() // block)))
     piece = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = left.withColumn("part", piece(parts)).withColumn("block", all_(blocks))
@@ -139,31 +140,48 @@ def fit_rows(x: pa.Table, y: pa.Table, chunk: int = 16_384, held: int = 4_000_00
         yield first, fits
 
 
-def histogram_fits(left: DataFrame, right: DataFrame, k: int | None = None, zeros: bool = False, block: int = 1024) -> DataFrame:
+def half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """x, 0 or more, rounded as DuckDB's round does."""
+    y = x * 10.0**digits
+    low = np.floor(y)
+    return (low + (y - low >= 0.5)) / 10.0**digits
+
+
+def histogram_fits(left: DataFrame, right: DataFrame, k: int | None = None, zeros: bool = False, digits: int | None = None, block: int = 8192) -> DataFrame:
     """(id, rid, fit): the sum over common cells of the smaller share, for histograms in rows (id, cell_key, p).
 
-    Histograms are paired in blocks; in a block each cell adds the smaller shares of the images that have it, so
-    only pairs that are asked for become rows. k: the k best of each left id, fits compared to nine digits, then by
-    rid; zeros: pairs without a common cell come out too, with 0, which k never does. Rows with a null id, cell or
-    share take no part; an empty side gives no rows.
+    Histograms are paired in blocks, a task each; in a block each cell adds the smaller shares of the images that have it, so
+    only pairs that are asked for become rows. A task gives out its rows as it goes, so its memory is that of two blocks.
+    k: the k best of each left id, fits compared to nine digits, then by rid; zeros: pairs without a common cell come
+    out too, with 0, which k never does; digits: fits come out rounded, in the block, as a round of Spark's costs more
+    than the fit. Rows with a null id, cell or share take no part; an empty side gives no rows.
     """
-    a, b = grid(materialize(packed(left)), materialize(packed(right)), block)
+    a, b = materialize(packed(left)), materialize(packed(right))
+    n, m, tasks = a.count(), b.count(), 4 * left.sparkSession.sparkContext.defaultParallelism
+    parts, blocks = max(1, -(-n // block)), max(1, -(-m // block))
+    while parts * blocks < tasks and max(n // parts, m // blocks) > min(block, 512):  # small sides occupy all cores too
+        parts, blocks = (parts + 1, blocks) if n // parts > m // blocks else (parts, blocks + 1)
+    a, b = grid(a, b, block, (parts, blocks))
     kind = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
-
-    def run(x: pa.Table, y: pa.Table) -> pa.Table:
-        x, y = x.select(["id", "cells", "ps"]), y.select(["rid", "rcells", "rps"]).sort_by("rid")
-        one, two, out = x["id"].combine_chunks(), y["rid"].combine_chunks(), []
-        for first, fit in fit_rows(x, y) if len(x) and len(y) else ():
+    pair = lambda p, q: (F.col(p) * blocks + F.col(q)).alias("pair")
+    one = a.select(pair("part", "block"), "id", F.lit(None).cast(kind[1]).alias("rid"), "cells", "ps")
+    two = b.select(pair("rpart", "rblock"), F.lit(None).cast(kind[0]).alias("id"), "rid", F.col("rcells").alias("cells"), F.col("rps").alias("ps"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = pa.Table.from_batches(batches)
+        x, y = both.filter(pc.is_valid(both["id"])).select(["id", "cells", "ps"]), both.filter(pc.is_valid(both["rid"])).select(["rid", "cells", "ps"]).sort_by("rid")
+        one, two = x["id"].combine_chunks(), y["rid"].combine_chunks()
+        for first, fit in fit_rows(x, y, held=500_000) if len(x) and len(y) else ():
             if k:
                 best = np.argsort(-np.round(fit, 9), axis=1, kind="stable")[:, :k]
                 i, j = np.repeat(np.arange(len(fit)), best.shape[1]), best.ravel()
                 i, j = i[fit[i, j] > 0], j[fit[i, j] > 0]
             else:
                 i, j = np.nonzero(np.ones_like(fit) if zeros else fit)
-            out.append(pa.table({"id": one.take(pa.array(first + i)), "rid": two.take(pa.array(j)), "fit": fit[i, j]}))
-        return pa.concat_tables(out) if out else pa.table({"id": one[:0], "rid": two[:0], "fit": pa.array([], pa.float64())})
+            f = fit[i, j] if digits is None else half_up(fit[i, j], digits)
+            yield pa.record_batch([one.take(pa.array(first + i)), two.take(pa.array(j)), pa.array(f)], names=["id", "rid", "fit"])
 
-    got = a.groupBy("part", "block").cogroup(b.groupBy("rpart", "rblock")).applyInArrow(run, f"id {kind[0]}, rid {kind[1]}, fit double")
+    got = one.union(two).repartitionById(parts * blocks, F.col("pair")).groupBy("pair").applyInArrow(run, f"id {kind[0]}, rid {kind[1]}, fit double")
     return top_per_group(got, ["id"], [F.round("fit", 9).desc(), F.col("rid")], k) if k else got
 
 

@@ -46,6 +46,41 @@ def test_histogram_fits_match_brute_force(spark):
     assert V.histogram_fits(table(a).limit(0), table(b)).count() == 0
 
 
+def test_fits_are_rounded_as_in_sql():
+    import duckdb
+
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.random(5000), np.arange(200) / 128, np.arange(2000) / 640, np.arange(1001) / 1000, [0.49999949999999996, 0.4999995, 4.9e-7, 5e-7]])
+    want = [r[0] for r in duckdb.execute("SELECT round(v, 6) FROM (SELECT unnest(?::DOUBLE[]) AS v)", [x.tolist()]).fetchall()]
+    assert V.half_up(x, 6).tolist() == want and V.half_up(np.array([0.0078125, 0.49999999999999994]), 6)[0] == 0.007813 and V.half_up(np.array([0.49999999999999994]), 0)[0] == 0
+
+
+def test_fits_that_round_to_nothing_are_still_fits(spark):
+    table = lambda *rows: spark.createDataFrame(rows, "id string, cell_key string, p double")
+    got = V.histogram_fits(table(("a", "u", 1e-9), ("a", "v", 0.0078125)), table(("x", "u", 0.5), ("y", "v", 0.5), ("z", "w", 1.0)), digits=6).collect()
+    assert sorted(map(tuple, got)) == [("a", "x", 0.0), ("a", "y", 0.007813)]
+
+
+@pytest.mark.parametrize("query", ["agg_hist_intersect"])
+def test_rows_of_all_fits_cost_no_round_and_one_exchange(spark, query):
+    from sieveloom.plans import QUERIES
+
+    df = QUERIES[query](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "round(" not in plan and plan.count("Exchange ") == 1 and "FlatMapGroupsInArrow" in plan  # by batches, so no table of a block's rows
+    assert all(r["fit"] == round(r["fit"], 6) for r in df.select("fit").distinct().collect())
+
+
+def test_pairs_of_pieces_repeat_few_rows(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(V, "grid", lambda *a, f=V.grid: made.append(f(*a)) or made[-1])
+    table = lambda n: spark.range(n).select(F.concat(F.lit("i"), "id").alias("id"), F.lit("u").alias("cell_key"), F.lit(1.0).alias("p"))
+    df = V.histogram_fits(table(3000), table(2000))
+    (a, b), cores = made[0], spark.sparkContext.defaultParallelism
+    assert a.count() + b.count() < 5 * 5000 and a.select("part", "block").distinct().count() >= 4 * cores  # all cores have tasks
+    assert df.groupBy("fit").count().collect() == [(1.0, 6_000_000)]
+
+
 def test_fit_percentiles_match_brute_force(spark):
     rng = random.Random(9)
     a, b = ({f"{n}{i}": {c: rng.randint(1, 4) / 8 for c in rng.sample("uvwxyz", 2)} for i in range(30)} for n in "lr")
