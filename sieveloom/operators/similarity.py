@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -103,40 +105,70 @@ def packed(df: DataFrame) -> DataFrame:
     return df.where(ok).groupBy("id").agg(F.collect_list("cell_key").alias("cells"), F.collect_list("p").alias("ps"))  # as many entries as the grid has cells
 
 
-def fit_rows(x: pa.Table, y: pa.Table, chunk: int = 16_384, held: int = 4_000_000) -> Iterator[tuple[int, np.ndarray]]:
-    """(first, fits): the fits of rows of x from ``first`` on with all rows of y, packed histograms both (id, cells, ps).
+def numbered(*sides: DataFrame) -> tuple[list[DataFrame], int]:
+    """Packed histograms with numbers from 0 on for cells, the same in all sides, and how many there are: a third of the bytes to move.
+
+    The driver and each task hold the cells of the grid."""
+    cells = functools.reduce(DataFrame.union, [s.select(F.explode("cells").alias("cell")) for s in sides])
+    names = pa.array(sorted(r["cell"] for r in cells.distinct().collect()), pa.string())  # one row a cell of the grid
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            c = t["cells"]
+            codes = pc.index_in(pc.cast(c.flatten(), pa.string()), names)
+            ends = pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(c).to_numpy())]), pa.int32())
+            yield pa.record_batch([t["id"], pa.ListArray.from_arrays(ends, codes), t["ps"]], names=["id", "cells", "ps"])
+
+    return [s.mapInArrow(run, f"id {s.schema['id'].dataType.simpleString()}, cells array<int>, ps array<double>") for s in sides], len(names)
+
+
+def entries(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, cell and share of each entry of packed histograms (id, cells, ps)."""
+    cells, ps = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (t["cells"], t["ps"]))
+    return np.repeat(np.arange(len(t), dtype=np.int32), pc.list_value_length(cells).to_numpy()), cells.flatten().to_numpy(), ps.flatten().to_numpy()
+
+
+class ByCell(NamedTuple):
+    """Some histograms, by cell: the rows and shares of cell c are those from cut[c] to cut[c + 1]."""
+
+    width: int
+    row: np.ndarray
+    share: np.ndarray
+    cut: list[int]
+
+
+def by_cell(t: pa.Table | pa.RecordBatch, n: int) -> ByCell:
+    row, cell, share = entries(t)
+    order = np.argsort(cell, kind="stable")
+    return ByCell(len(t), row[order], share[order], np.searchsorted(cell[order], np.arange(n + 1)).tolist())
+
+
+def fit_rows(x: pa.Table, y: pa.Table | Sequence[ByCell], chunk: int = 16_384, held: int = 4_000_000) -> Iterator[tuple[int, np.ndarray]]:
+    """(first, fits): the fits of rows of x from ``first`` on with all rows of y, packed histograms both (id, cells, ps);
+    cells by name, or by number where y comes in pieces by cell.
 
     At most about ``held`` fits are held at once. For chunks of y each cell has the list of its rows and shares; a row
     of x adds up the lists of its own cells, so cells that only one of two histograms has cost nothing.
     """
-
-    def flat(t: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-        _, cells, ps = (c.combine_chunks() for c in t.columns)
-        return np.repeat(np.arange(len(t), dtype=np.int32), pc.list_value_length(cells).to_numpy()), pc.cast(cells.flatten(), pa.string()), ps.flatten().to_numpy()
-
-    (xrow, xcell, xp), (yrow, ycell, yp) = flat(x), flat(y)
-    names = pa.array(sorted(set(xcell.unique().to_pylist()) & set(ycell.unique().to_pylist())), pa.string())
-    code = lambda c: pc.fill_null(pc.index_in(c, names), len(names)).to_numpy()
-    xcode, ycode = code(xcell), code(ycell)
-    lists = []
-    for at in range(0, len(y), chunk):
-        i, j = np.searchsorted(yrow, [at, at + chunk])
-        order = i + np.argsort(ycode[i:j], kind="stable")
-        cut = np.searchsorted(ycode[order], np.arange(len(names) + 1)).tolist()
-        lists.append((at, min(chunk, len(y) - at), yrow[order] - at, yp[order], cut))
-    order = np.lexsort((xcode, xrow))
-    order = order[xcode[order] < len(names)]
-    ends = np.searchsorted(xrow[order], np.arange(len(x) + 1))
-    mine = [list(zip(xcode[order[i:j]].tolist(), xp[order[i:j]].tolist())) for i, j in zip(ends, ends[1:])]
-    step = max(1, held // max(1, len(y)))
+    if isinstance(y, pa.Table):
+        cells = [t["cells"].combine_chunks() for t in (x, y)]
+        names = pc.unique(pa.concat_arrays([c.flatten() for c in cells]))
+        x, y = (t.set_column(1, "cells", pa.array(np.split(pc.index_in(c.flatten(), names).to_numpy(), np.cumsum(pc.list_value_length(c).to_numpy())[:-1]), pa.list_(pa.int32()))) for t, c in zip((x, y), cells))
+        y = [by_cell(y.slice(at, chunk), len(names)) for at in range(0, len(y), chunk)]
+    xrow, xcell, xp = entries(x)
+    total = sum(c.width for c in y)
+    ends = np.searchsorted(xrow, np.arange(len(x) + 1)).tolist()
+    step = max(1, held // max(1, total))
     for first in range(0, len(x), step):
-        some = mine[first : first + step]
-        fits = np.zeros((len(some), len(y)))
-        for at, width, row, share, cut in lists:
+        rows = [(i + np.argsort(xcell[i:j], kind="stable")) for i, j in zip(ends[first : first + step], ends[first + 1 : first + step + 1])]
+        some = [list(zip(xcell[o].tolist(), xp[o].tolist())) for o in rows]
+        fits, at = np.zeros((len(some), total)), 0
+        for width, row, share, cut in y:
             for f, own in zip(fits, some):
                 if own:
                     j = np.concatenate([row[cut[c] : cut[c + 1]] for c, _ in own])
                     f[at : at + width] = np.bincount(j, np.concatenate([np.minimum(share[cut[c] : cut[c + 1]], p) for c, p in own]), width)
+            at += width
         yield first, fits
 
 
@@ -147,6 +179,40 @@ def half_up(x: np.ndarray, digits: int) -> np.ndarray:
     return (low + (y - low >= 0.5)) / 10.0**digits
 
 
+def blocks_apart(both: Iterator[pa.RecordBatch], n: int, chunk: int = 16_384) -> tuple[pa.Table, pa.Array, list[ByCell]]:
+    """From rows (id, rid, cells, ps) those with an id, and the ids and the histograms by cell of those with an rid.
+
+    The latter are put by cell as they come, so no second copy of them is held."""
+    left, ids, right, waiting = [], [], [], []
+
+    def put() -> None:
+        t = pa.Table.from_batches(waiting).combine_chunks()
+        ids.append(t["rid"].combine_chunks())
+        right.append(by_cell(t, n))
+        waiting.clear()
+
+    for t in both:
+        t = t.select(["id", "rid", "cells", "ps"])
+        left.append(t.filter(pc.is_valid(t["id"])))
+        some = t.filter(pc.is_valid(t["rid"]))
+        if len(some):
+            waiting.append(some)
+        if sum(map(len, waiting)) >= chunk:
+            put()
+    if waiting:
+        put()
+    x = pa.Table.from_batches([t for t in left if len(t)] or left[:1]).combine_chunks()
+    return x, pa.concat_arrays(ids) if ids else x["rid"].combine_chunks()[:0], right
+
+
+def paired(a: DataFrame, b: DataFrame, pair: tuple, n: int) -> DataFrame:
+    """Rows (pair, id, rid, cells, ps) of two sides (id, cells, ps), one of the ids null; n pairs, a partition each."""
+    kind = a.schema["id"].dataType, b.schema["rid"].dataType
+    one = a.select(pair[0].alias("pair"), "id", F.lit(None).cast(kind[1]).alias("rid"), "cells", "ps")
+    two = b.select(pair[1].alias("pair"), F.lit(None).cast(kind[0]).alias("id"), "rid", F.col("rcells").alias("cells"), F.col("rps").alias("ps"))
+    return one.union(two).repartitionById(n, F.col("pair")).groupBy("pair")
+
+
 def histogram_fits(left: DataFrame, right: DataFrame, k: int | None = None, zeros: bool = False, digits: int | None = None, block: int = 8192) -> DataFrame:
     """(id, rid, fit): the sum over common cells of the smaller share, for histograms in rows (id, cell_key, p).
 
@@ -185,27 +251,30 @@ def histogram_fits(left: DataFrame, right: DataFrame, k: int | None = None, zero
     return top_per_group(got, ["id"], [F.round("fit", 9).desc(), F.col("rid")], k) if k else got
 
 
-def fit_percentile(left: DataFrame, right: DataFrame, p: float, pairs: bool = False, block: int = 8192) -> DataFrame:
+def fit_percentile(left: DataFrame, right: DataFrame, p: float, pairs: bool = False, digits: int | None = None, block: int = 65_536) -> DataFrame:
     """(id, low, high, share, most): for each left id the fits on either side of the percentile p of its fits above 0,
     the share of the way between them where it lies, and the largest; ids without a fit don't come out. pairs:
-    (id, rid, fit, cut), the pairs that reach the percentile, and those less than 1e-8 below it, so that the caller rounds.
+    (id, rid, fit, cut), the pairs that reach the percentile, and those less than 1e-8 below it, so that the caller rounds;
+    with digits (id, rid), those that reach it when both are rounded.
 
-    A task holds the histograms of the whole right side and all fits of a few left rows, so no pair is written or moved
-    to find a percentile. The right side is sent once for each part of up to ``block`` left rows.
+    A task holds the histograms of the whole right side, twelve bytes an entry, and all fits of a few left rows at a time,
+    and gives out its rows as it goes, so no pair is moved, or held longer, to find a percentile. The right side is sent
+    once for each part of up to ``block`` left rows.
     """
     a, b = materialize(packed(left)), materialize(packed(right))
     n = a.count()
-    parts = max(1, -(-n // block), min(left.sparkSession.sparkContext.defaultParallelism, -(-n // 512)))
+    parts = max(1, -(-n // block), min(2 * left.sparkSession.sparkContext.defaultParallelism, -(-n // 512)))
+    (a, b), cells = numbered(a, b)
     a = a.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    b = b.select(F.col("id").alias("rid"), "cells", "ps", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("rpart"))
+    b = b.select(F.col("id").alias("rid"), F.col("cells").alias("rcells"), F.col("ps").alias("rps"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("rpart"))
     kind = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
-    names = ["id", "rid", "fit", "cut"] if pairs else ["id", "low", "high", "share", "most"]
+    names = ["id", "rid", "fit", "cut"][: 4 if digits is None else 2] if pairs else ["id", "low", "high", "share", "most"]
 
-    def run(x: pa.Table, y: pa.Table) -> pa.Table:
-        x, y = x.select(["id", "cells", "ps"]), y.select(["rid", "cells", "ps"])
-        one, two, out = x["id"].combine_chunks(), y["rid"].combine_chunks(), []
-        for first, fits in fit_rows(x, y) if len(x) and len(y) else ():
-            none = len(y) - np.count_nonzero(fits, axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, two, y = blocks_apart(batches, cells)
+        one = x["id"].combine_chunks()
+        for first, fits in fit_rows(x, y, held=1_000_000) if len(x) and y else ():
+            none, out = len(two) - np.count_nonzero(fits, axis=1), []
             for i, (f, zeros) in enumerate(zip(fits, none.tolist()), first):
                 if zeros == len(f):
                     continue
@@ -216,16 +285,20 @@ def fit_percentile(left: DataFrame, right: DataFrame, p: float, pairs: bool = Fa
                 if pairs:
                     cut = low if share == 0 else (1 - share) * low + share * high
                     j = np.nonzero((f >= cut - 1e-8) & (f > 0))[0]
-                    out.append(pa.table([one.take(pa.array(np.full(len(j), i))), two.take(pa.array(j)), pa.array(f[j]), pa.array(np.full(len(j), cut))], names=names))
+                    if digits is not None:
+                        j = j[half_up(f[j], digits) >= half_up(np.array([cut]), digits)]
+                    out.append((np.full(len(j), i), j, f[j], np.full(len(j), cut))[: len(names)])
                 else:
                     out.append((i, low, high, share, float(f.max())))
-        if pairs:
-            return pa.concat_tables(out) if out else pa.table([one[:0], two[:0], pa.array([], pa.float64()), pa.array([], pa.float64())], names=names)
-        got = list(zip(*out)) or [()] * 5
-        return pa.table([one.take(pa.array(got[0], pa.int64())), *[pa.array(c, pa.float64()) for c in got[1:]]], names=names)
-
-    schema = f"id {kind[0]}, rid {kind[1]}, fit double, cut double" if pairs else f"id {kind[0]}, low double, high double, share double, most double"
-    return a.groupBy("part").cogroup(b.groupBy("rpart")).applyInArrow(run, schema)
+            if out and pairs:
+                i, j, *rest = map(np.concatenate, zip(*out))
+                yield pa.record_batch([one.take(pa.array(i)), two.take(pa.array(j)), *map(pa.array, rest)], names=names)
+            elif out:
+                i, *rest = zip(*out)
+                yield pa.record_batch([one.take(pa.array(i)), *map(pa.array, rest)], names=names)
+
+    schema = ", ".join(f"{c} {dict(zip(('id', 'rid'), kind)).get(c, 'double')}" for c in names)
+    return paired(a, b, (F.col("part"), F.col("rpart")), parts).applyInArrow(run, schema)
 
 
 def mean_vector(df: DataFrame, vec: str = "vec") -> DataFrame:

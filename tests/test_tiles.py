@@ -107,6 +107,36 @@ def test_percentiles_of_fits_make_no_rows_of_all_pairs(spark, monkeypatch, query
     assert QUERIES[query](spark, "/root/testdata/sf0.001").count() and not made
 
 
+def test_pairs_that_reach_a_percentile_leave_a_task_in_batches(spark):
+    from sieveloom.plans import QUERIES
+
+    plan = QUERIES["win_pool_p95"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "CoGroups" not in plan and "round(" not in plan  # a cogroup's rows are one table
+
+    rng = random.Random(11)
+    a, b = ({f"{n}{i}": {c: rng.randint(1, 3) / 6 for c in rng.sample("uvwxyz", 2)} for i in range(40)} for n in "lr")
+    table = lambda h: spark.createDataFrame([(i, c, p) for i, x in h.items() for c, p in x.items()], "id string, cell_key string, p double")
+    want = set()
+    for i, x in a.items():
+        fits = {j: f for j, y in b.items() if (f := sum(min(x[c], y[c]) for c in sorted(set(x) & set(y)))) > 0}
+        want |= {(i, j) for j, f in fits.items() if round(f, 9) >= round(float(np.quantile(list(fits.values()), 0.9)), 9)}
+    for block in (7, 65_536):
+        assert {tuple(r) for r in V.fit_percentile(table(a), table(b), 0.9, pairs=True, digits=9, block=block).collect()} == want
+    assert V.fit_percentile(table(a), table(b).limit(0), 0.9, pairs=True, digits=9).count() == 0
+
+
+def test_histograms_come_apart_as_they_are_read():
+    import pyarrow as pa
+
+    rows = [(f"l{i}", None, [i % 3, 3], [0.5, 0.25]) if i % 4 == 0 else (None, f"r{i}", [3, i % 3, 3], [0.125, 0.5, 0.25]) for i in range(50)]
+    batch = lambda some: pa.record_batch([pa.array(c, t) for c, t in zip(zip(*some), (pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.float64())))], names=["id", "rid", "cells", "ps"])
+    x, rid, y = V.blocks_apart(iter([batch(rows[i : i + 7]) for i in range(0, 50, 7)]), 4, chunk=10)
+    assert x["id"].to_pylist() == [r[0] for r in rows if r[0]] and rid.to_pylist() == [r[1] for r in rows if r[1]] and len(y) > 2
+    got = np.concatenate([f for _, f in V.fit_rows(x, y, held=100)])
+    want = [[0.375 + 0.5 * (int(i[1:]) % 3 == int(j[1:]) % 3) for j in rid.to_pylist()] for i in x["id"].to_pylist()]  # a cell that is there twice counts twice
+    assert np.array_equal(got, want)
+
+
 def test_fits_hold_few_rows_at_once():
     import pyarrow as pa
 
