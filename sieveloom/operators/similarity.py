@@ -218,6 +218,7 @@ def histogram_fits(left: DataFrame, right: DataFrame, k: int | None = None, zero
 
     Histograms are paired in blocks, a task each; in a block each cell adds the smaller shares of the images that have it, so
     only pairs that are asked for become rows. A task gives out its rows as it goes, so its memory is that of two blocks.
+    What moves is each side once for every block of the other, with numbers for cells. Batches are small, as the JVM holds them too.
     k: the k best of each left id, fits compared to nine digits, then by rid; zeros: pairs without a common cell come
     out too, with 0, which k never does; digits: fits come out rounded, in the block, as a round of Spark's costs more
     than the fit. Rows with a null id, cell or share take no part; an empty side gives no rows.
@@ -227,17 +228,17 @@ def histogram_fits(left: DataFrame, right: DataFrame, k: int | None = None, zero
     parts, blocks = max(1, -(-n // block)), max(1, -(-m // block))
     while parts * blocks < tasks and max(n // parts, m // blocks) > min(block, 512):  # small sides occupy all cores too
         parts, blocks = (parts + 1, blocks) if n // parts > m // blocks else (parts, blocks + 1)
+    (a, b), cells = numbered(a, b)
     a, b = grid(a, b, block, (parts, blocks))
     kind = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
-    pair = lambda p, q: (F.col(p) * blocks + F.col(q)).alias("pair")
-    one = a.select(pair("part", "block"), "id", F.lit(None).cast(kind[1]).alias("rid"), "cells", "ps")
-    two = b.select(pair("rpart", "rblock"), F.lit(None).cast(kind[0]).alias("id"), "rid", F.col("rcells").alias("cells"), F.col("rps").alias("ps"))
+    pair = lambda p, q: F.col(p) * blocks + F.col(q)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = pa.Table.from_batches(batches)
-        x, y = both.filter(pc.is_valid(both["id"])).select(["id", "cells", "ps"]), both.filter(pc.is_valid(both["rid"])).select(["rid", "cells", "ps"]).sort_by("rid")
-        one, two = x["id"].combine_chunks(), y["rid"].combine_chunks()
-        for first, fit in fit_rows(x, y, held=500_000) if len(x) and len(y) else ():
+        x, two, y = blocks_apart(batches, cells)
+        one, by_id = x["id"].combine_chunks(), pc.sort_indices(two).to_numpy()
+        two = two.take(pa.array(by_id))
+        for first, some in fit_rows(x, y, held=125_000) if len(x) and y else ():
+            fit = some[:, by_id]
             if k:
                 best = np.argsort(-np.round(fit, 9), axis=1, kind="stable")[:, :k]
                 i, j = np.repeat(np.arange(len(fit)), best.shape[1]), best.ravel()
@@ -247,7 +248,7 @@ def histogram_fits(left: DataFrame, right: DataFrame, k: int | None = None, zero
             f = fit[i, j] if digits is None else half_up(fit[i, j], digits)
             yield pa.record_batch([one.take(pa.array(first + i)), two.take(pa.array(j)), pa.array(f)], names=["id", "rid", "fit"])
 
-    got = one.union(two).repartitionById(parts * blocks, F.col("pair")).groupBy("pair").applyInArrow(run, f"id {kind[0]}, rid {kind[1]}, fit double")
+    got = paired(a, b, (pair("part", "block"), pair("rpart", "rblock")), parts * blocks).applyInArrow(run, f"id {kind[0]}, rid {kind[1]}, fit double")
     return top_per_group(got, ["id"], [F.round("fit", 9).desc(), F.col("rid")], k) if k else got
 
 

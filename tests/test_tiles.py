@@ -81,6 +81,16 @@ def test_pairs_of_pieces_repeat_few_rows(spark, monkeypatch):
     assert df.groupBy("fit").count().collect() == [(1.0, 6_000_000)]
 
 
+def test_histograms_move_as_numbers_of_cells(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(V, "grid", lambda *a, f=V.grid: made.append(f(*a)) or made[-1])
+    table = lambda *rows: spark.createDataFrame(rows, "id string, cell_key string, p double")
+    got = V.histogram_fits(table(("a", "2_1", 0.5), ("b", "0_0", 1.0), ("c", "9_9", 1.0)), table(("x", "2_1", 0.25), ("y", "0_0", 1.0), ("z", "1_2", 1.0))).collect()
+    a, b = made[0]
+    assert a.schema["cells"].dataType.simpleString() == b.schema["rcells"].dataType.simpleString() == "array<int>"
+    assert sorted(map(tuple, got)) == [("a", "x", 0.25), ("b", "y", 1.0)]
+
+
 def test_fit_percentiles_match_brute_force(spark):
     rng = random.Random(9)
     a, b = ({f"{n}{i}": {c: rng.randint(1, 4) / 8 for c in rng.sample("uvwxyz", 2)} for i in range(30)} for n in "lr")
