@@ -106,7 +106,7 @@ def packed(df: DataFrame) -> DataFrame:
 
 
 def numbered(*sides: DataFrame) -> tuple[list[DataFrame], int]:
-    """Packed histograms with numbers from 0 on for cells, the same in all sides, and how many there are: a third of the bytes to move.
+    """Packed histograms with numbers from 0 on for cells, the same in all sides, and how many there are: about half the bytes to move.
 
     The driver and each task hold the cells of the grid."""
     cells = functools.reduce(DataFrame.union, [s.select(F.explode("cells").alias("cell")) for s in sides])

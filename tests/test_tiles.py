@@ -91,6 +91,17 @@ def test_histograms_move_as_numbers_of_cells(spark, monkeypatch):
     assert sorted(map(tuple, got)) == [("a", "x", 0.25), ("b", "y", 1.0)]
 
 
+def test_every_background_comes_out_and_moves_as_numbers(spark, monkeypatch):
+    from sieveloom.plans import QUERIES
+
+    made = []
+    monkeypatch.setattr(V, "grid", lambda *a, f=V.grid: made.append((a, f(*a))) or made[-1][1])
+    got = QUERIES["jn_roi_x_background"](spark, "/root/testdata/sf0.001").count()
+    (left, right, *_), (a, b) = made[0]
+    assert got == left.count() * right.count() > 0
+    assert a.schema["cells"].dataType.simpleString() == b.schema["rcells"].dataType.simpleString() == "array<int>"
+
+
 def test_fit_percentiles_match_brute_force(spark):
     rng = random.Random(9)
     a, b = ({f"{n}{i}": {c: rng.randint(1, 4) / 8 for c in rng.sample("uvwxyz", 2)} for i in range(30)} for n in "lr")
